@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from quantloom.llm import line_dedup
+from quantloom.llm import line_dedup, media, warc
 
 
 def queries() -> dict:
     return {
+        "op1_warc": warc.op1_warc,
         "op8_line_dedup": line_dedup.op8_line_dedup,
+        "op9_media_columns": media.op9_media_columns,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_warc": warc.SQL,
         "op8_line_dedup": line_dedup.SQL,
     }
