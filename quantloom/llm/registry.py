@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from quantloom.llm import line_dedup, media, warc
+from quantloom.llm import bpe, line_dedup, media, packing, warc
 
 
 def queries() -> dict:
     return {
         "op1_warc": warc.op1_warc,
+        "op4_bpe": bpe.op4_bpe,
+        "op6_packing": packing.op6_packing,
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_media_columns": media.op9_media_columns,
     }
