@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quantloom.llm import bpe, line_dedup, media, packing, warc
+from quantloom.llm import bpe, line_dedup, media, packing, simhash, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_warc": warc.op1_warc,
         "op4_bpe": bpe.op4_bpe,
         "op6_packing": packing.op6_packing,
+        "op7_simhash": simhash.op7_simhash,
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_media_columns": media.op9_media_columns,
     }
