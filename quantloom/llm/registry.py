@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quantloom.llm import bpe, line_dedup, media, packing, simhash, warc
+from quantloom.llm import bpe, line_dedup, media, packing, simhash, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_warc": warc.op1_warc,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op4_bpe": bpe.op4_bpe,
         "op6_packing": packing.op6_packing,
         "op7_simhash": simhash.op7_simhash,
