@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
-from quantloom.llm import bpe, line_dedup, media, packing, simhash, toxicity, warc
+from quantloom.llm import bpe, chat, line_dedup, media, packing, quality, simhash, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_warc": warc.op1_warc,
+        "op2_chat_format": chat.op2_chat_format,
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_bpe": bpe.op4_bpe,
         "op6_packing": packing.op6_packing,
         "op7_simhash": simhash.op7_simhash,
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_media_columns": media.op9_media_columns,
+        "op10_quality": quality.op10_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc": warc.SQL,
+        "op2_chat_format": chat.SQL,
         "op8_line_dedup": line_dedup.SQL,
     }
