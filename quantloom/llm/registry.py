@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quantloom.llm import bpe, chat, line_dedup, media, packing, quality, simhash, toxicity, warc
+from quantloom.llm import bpe, chat, fingerprint, line_dedup, media, packing, quality, simhash, toxicity, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_chat_format": chat.op2_chat_format,
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_bpe": bpe.op4_bpe,
+        "op5_fingerprint": fingerprint.op5_fingerprint,
         "op6_packing": packing.op6_packing,
         "op7_simhash": simhash.op7_simhash,
         "op8_line_dedup": line_dedup.op8_line_dedup,
