@@ -69,27 +69,38 @@ def line_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
 
 
 def kept_text(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """docs with `n_lines`, `n_dropped` and `kept` (the text without dropped lines; null stays ''). """
+    """docs with `__lines`, `__dropped` and `__kept`, the text without dropped lines; null becomes empty."""
     # one long array per document with gaps filled by zero words; made before the join, so that it is computed once a document
     dense = F.expr("flatten(transform(words, (x, k) -> concat(array_repeat(0L, x.word - coalesce(get(words, k - 1).word, -1) - 1), array(x.bits))))")
     marks = bitmaps.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), dense.alias("__bits"), F.col("n_dropped").alias("__dropped"))
     joined = docs.withColumn("__text_hash", F.xxhash64("text")).join(
         marks, (F.col("doc_id") == F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left"
     )
-    stays = lambda _, i: F.coalesce(F.get("__bits", F.floor(i / WORD).cast("int")), F.lit(0)).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(i, F.lit(WORD)).cast("int"))) == 0
     lines = split_lines(F.col("text"))
-    kept = F.when(F.col("__bits").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.filter(lines, stays), "\n"))
+    stays = F.expr(f"filter(split(coalesce(text, ''), '\\n', -1), (x, i) -> coalesce(get(__bits, i div {WORD}), 0L) & shiftleft(1L, i % {WORD}) = 0)")
+    kept = F.when(F.col("__bits").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(stays, "\n"))
     return joined.select(
         *docs.columns,
-        F.size(lines).cast("long").alias("n_lines"),
-        F.coalesce("__dropped", F.lit(0).cast("long")).alias("n_dropped"),
-        kept.alias("kept"),
+        F.size(lines).cast("long").alias("__lines"),
+        F.coalesce("__dropped", F.lit(0).cast("long")).alias("__dropped"),
+        kept.alias("__kept"),
     )
 
 
+def without_repeated_lines(docs: DataFrame) -> DataFrame:
+    """docs with repeated lines taken out of `text` and `n_chars` set anew where a line went; the
+    row stays even if no line does. All columns come through, in order."""
+    done = kept_text(docs, line_bitmaps(docs))
+    went = F.col("__dropped") > 0
+    new = {"text": F.when(went, F.col("__kept")).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(went, F.char_length("__kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return done.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return kept_text(docs, line_bitmaps(docs)).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+    return kept_text(docs, line_bitmaps(docs)).select("doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), F.sha2("__kept", 256).alias("kept_sha256"))
 
 
 SQL = r"""

@@ -184,21 +184,29 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     return QualityModel(models, calibration, fit_logistic(np.clip(z, -12, 12), y[aside].astype(float), decay=1e-2), base)
 
 
-def score(docs: DataFrame, model: QualityModel, keep: bool = False) -> DataFrame:
-    """(doc_id, p_text, p_meta, score) of every document; after all columns of docs if `keep`."""
+def score(docs: DataFrame, model: QualityModel) -> DataFrame:
+    """(doc_id, p_text, p_meta, score) of every document."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # some hundred numbers
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            made = [pa.array(x) for x in sent.value.score(*_views(b))]
-            columns, names = (list(b.columns), b.schema.names) if keep else ([b.column("doc_id")], ["doc_id"])
-            yield pa.RecordBatch.from_arrays([*columns, *made], [*names, "p_text", "p_meta", "score"])
-
-    given = docs if keep else docs.select("doc_id", "text", "lang", "source")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema) if keep else "doc_id long"
-    return given.mapInArrow(rows, f"{fields}, p_text double, p_meta double, score double")
+            if b.num_rows:
+                made = [pa.array(x) for x in sent.value.score(*_views(b))]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *made], ["doc_id", "p_text", "p_meta", "score"])
+
+    return docs.select("doc_id", "text", "lang", "source").mapInArrow(rows, "doc_id long, p_text double, p_meta double, score double")
+
+
+def accepted(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns, with a score of at least the threshold."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield b.filter(pa.array(sent.value.score(*_views(b))[2] >= threshold))
+
+    return docs.mapInArrow(rows, docs.schema)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from quantloom.llm import bpe, chat, fingerprint, line_dedup, media, packing, quality, simhash, toxicity, warc
 
 
@@ -17,6 +18,7 @@ def queries() -> dict:
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_media_columns": media.op9_media_columns,
         "op10_quality": quality.op10_quality,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -275,6 +275,128 @@ def near_groups(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     return joined.select("doc_id", "fp", F.coalesce("__low", "doc_id").alias("component"))
 
 
+# --- near-duplicates by similarity ---------------------------------------------------------------
+
+#: Words of 64 bits in a wide fingerprint; the leading ones travel with the tree keys.
+LANES, LEAD = 16, 4
+#: Estimates this near the asked similarity are settled by the texts' shingle sets; the standard error
+#: of an estimate from 1024 bits is 0.028.
+UNSURE = 0.1
+#: Up to so many ids (8 bytes each) are broadcast; beyond, the join is shuffled.
+BROADCAST_IDS = 1_000_000
+
+
+def bit_share(similarity: float) -> float:
+    """Share of bits in which the SimHashes of two equally large sets of that Jaccard similarity differ."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def tree_bits(nodes: int, similarity: float, miss: float = 0.01) -> tuple[int, int]:
+    """Bits of a tree's key, which grow with the table so that shards do not, and the trees with
+    which a pair of just that similarity misses all shards with probability `miss` at most."""
+    bits = max(14, int(np.ceil(np.log2(max(2, nodes)))) - 4)
+    hit = (1 - bit_share(similarity)) ** bits
+    return bits, int(np.ceil(np.log(miss) / np.log1p(-hit)))
+
+
+def tree_rows(nodes: DataFrame, bits: int, trees: int) -> DataFrame:
+    """(id, fp) → (key, id, fp): a row a tree, keyed by the tree's choice of bits; fp is cut to LEAD words."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chosen = [np.random.default_rng(t).choice(64 * LANES, bits, replace=False) for t in range(trees)]
+        weight = 1 << np.arange(bits, dtype=np.int64)
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                raw = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1)
+                on = np.unpackbits(raw, axis=1)
+                keys = np.stack([on[:, c] @ weight + (t << bits) for t, c in enumerate(chosen)], 1)
+                lead = pa.array([x[: 8 * LEAD] for x in part.column(1).to_pylist()], pa.binary())
+                again = np.repeat(np.arange(part.num_rows), trees)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), part.column(0).take(pa.array(again)), lead.take(pa.array(again))], ["key", "id", "fp"])
+
+    return nodes.select("id", "fp").mapInArrow(rows, "key long, id long, fp binary")
+
+
+def wide_fingerprints(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, fp, size, f1, f2): the wide SimHash of the set of shingles, its size, a 128-bit name."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = (shingle_hashes(t.as_py(), words, distinct=True) for t in b.column(1))
+            made = [(majority_bits(h, LANES).astype(">u8").tobytes(), len(h)) for h in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in made], pa.binary()), pa.array([n for _, n in made], pa.int64())], ["doc_id", "fp", "size"])
+
+    made = docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, fp binary, size long")
+    return made.withColumns({"f1": F.xxhash64("fp", "size"), "f2": F.xxhash64(F.lit(1), "size", "fp")})
+
+
+def _estimate(u: str, v: str) -> F.Column:
+    """Jaccard similarity from the differing bits of two wide fingerprints and the sets' sizes."""
+    words = [
+        F.bit_count(F.conv(F.hex(F.substring(f"{u}_fp", 8 * k + 1, 8)), 16, -10).cast("long").bitwiseXOR(F.conv(F.hex(F.substring(f"{v}_fp", 8 * k + 1, 8)), 16, -10).cast("long")))
+        for k in range(LANES)
+    ]
+    differ = sum(words[1:], words[0])
+    shared = F.cos(differ / (64.0 * LANES) * np.pi) * F.sqrt(F.col(f"{u}_size").cast("double") * F.col(f"{v}_size"))
+    return shared / F.greatest(F.col(f"{u}_size") + F.col(f"{v}_size") - shared, F.lit(1e-9))
+
+
+def exactly_similar(docs: DataFrame, links: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The (u, v) links between doc_ids whose shingle sets have a Jaccard similarity of `similarity` or more."""
+    ids = links.select(F.col("u").alias("__id")).union(links.select("v")).distinct()
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [shingle_hashes(t.as_py(), words, distinct=True).tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], ["id", "set"])
+
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared >= similarity * (len(x) + len(y) - shared))
+            yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    found = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("__id"), "left_semi").mapInArrow(sets, "id long, set binary")
+    found = materialise(found.groupBy("id").agg(F.min("set").alias("set")), "sets")
+    of = lambda side: found.select(F.col("id").alias(side), F.col("set").alias(f"set_{side}"))
+    return links.join(of("u"), "u").join(of("v"), "v").select("u", "v", "set_u", "set_v").mapInArrow(similar, "u long, v long")
+
+
+def duplicate_ids(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id) of every document that has a smaller doc_id in its group of near copies."""
+    fps = materialise(wide_fingerprints(docs.where(F.col("doc_id").isNotNull()), words), "wide")
+    nodes = materialise(fps.groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.count(F.lit(1)).alias("n")), "wide-nodes")
+    bits, trees = tree_bits(nodes.count(), similarity)
+    share = bit_share(similarity)
+    radius = int(np.ceil(64 * LEAD * share + 2.5 * np.sqrt(64 * LEAD * share * (1 - share))))
+    links = forest_links(tree_rows(nodes.where("size > 0"), bits, trees), radius, LEAD, nearest=True)
+    side = lambda s: nodes.select(F.col("id").alias(s), F.col("fp").alias(f"{s}_fp"), F.col("size").alias(f"{s}_size"))
+    scored = materialise(links.join(side("u"), "u").join(side("v"), "v").select("u", "v", _estimate("u", "v").alias("like")).where(F.col("like") >= similarity - UNSURE), "links")
+    sure = scored.where(F.col("like") >= similarity + UNSURE).select("u", "v")
+    linked = components(sure.union(exactly_similar(docs, scored.where(F.col("like") < similarity + UNSURE), words, similarity))).select("node", "component").where("node <> component")
+    # a document goes if it is a later copy or its node is in an earlier one's component
+    known = nodes.join(linked, F.col("id") == F.col("node"), "left").select("f1", "f2", F.coalesce("component", "id").alias("keeper"), "n", "component").where((F.col("n") > 1) | F.col("component").isNotNull())
+    known = known.select("f1", "f2", "keeper", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = fps.select("doc_id", "f1", "f2", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    return salted.join(known, ["f1", "f2", "salt"]).where(F.col("doc_id") != F.col("keeper")).select("doc_id").distinct()
+
+
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs without near copies: of each group linked by a Jaccard similarity of word shingles of
+    `similarity` or more, found by wide SimHashes, the smallest doc_id stays.
+
+    Defined results: all texts without words are copies of each other; a null doc_id always
+    stays; repeated rows of the doc_id that stays all stay; other columns are passed through.
+    """
+    gone = duplicate_ids(docs, words, similarity).select(F.col("doc_id").alias("__gone"))
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))

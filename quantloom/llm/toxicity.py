@@ -203,24 +203,30 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
     return ToxicModel({int(names[c]): float(slope * x) for c, x in zip(chosen, w, strict=True) if abs(x) > 1e-6}, slope * b + offset)
 
 
-def score(docs: DataFrame, model: ToxicModel, keep: bool = False) -> DataFrame:
-    """docs with their toxicity `score`: (doc_id, score), or all columns of docs too if `keep`."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)  # at most MAX_FEATURES weights
+def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
+    """(doc_id, score) of every document."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_FEATURES weights
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value = sent.value.scorer()
         for b in batches:
-            got = pa.array([value(t.as_py()) for t in b.column("text")], pa.float64())
-            columns = list(b.columns) if keep else [b.column("doc_id")]
-            yield pa.RecordBatch.from_arrays([*columns, got], [*(b.schema.names if keep else ["doc_id"]), "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([value(t.as_py()) for t in b.column(1)], pa.float64())], ["doc_id", "score"])
 
-    if keep:
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-        return docs.mapInArrow(rows, f"{fields}, score double")
     return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, score double")
 
 
+def accepted(docs: DataFrame, model: ToxicModel, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns, with a score under the threshold."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        value = sent.value.scorer()
+        for b in batches:
+            yield b.filter(pa.array([value(t.as_py()) < threshold for t in b.column("text")], pa.bool_()))
+
+    return docs.mapInArrow(rows, docs.schema)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels"))
