@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from quantloom.llm.common import held_out, table
 
-MAX_POSITIVE, MAX_UNLABELLED = 3000, 6000
+MAX_POSITIVE, MAX_UNLABELLED = 2000, 5000
 THRESHOLD = 0.3
 #: Lengths of word beginnings that are features besides the whole word. Each is a feature for
 #: being there once, twice and so on, up to CAP times: once may be chance where thrice is not.
@@ -156,15 +156,20 @@ def training_labels(labels: DataFrame, column: str) -> DataFrame:
     return known.groupBy("doc_id").agg(F.max(column).cast("int").alias("label"))
 
 
-def choose(role: np.ndarray, row: np.ndarray, col: np.ndarray, d: int) -> np.ndarray:
-    """Features that tell P from U: z scores of the shares' difference, with enough support in P."""
+def choose(role: np.ndarray, hashes: list[np.ndarray]) -> np.ndarray:
+    """Features that tell P from U: z scores of the shares' difference, with enough support in P. Only
+    what P supports is counted in U."""
     n_p, n_u = (role == 1).sum(), (role == 0).sum()
-    in_p, in_u = np.bincount(col[role[row] == 1], minlength=d), np.bincount(col[role[row] == 0], minlength=d)
+    names, in_p = np.unique(np.concatenate([h for h, r in zip(hashes, role, strict=True) if r == 1]), return_counts=True)
+    enough = in_p >= max(MIN_DOCS, MIN_SHARE * n_p)
+    names, in_p, in_u = names[enough], in_p[enough], np.zeros(int(enough.sum()), np.int64)
+    for h, r in zip(hashes, role, strict=True):
+        if r == 0:
+            in_u += np.isin(names, h, assume_unique=True)
     both = (in_p + in_u + 1) / (n_p + n_u + 2)
     z = (in_p / n_p - in_u / n_u) / np.sqrt(both * (1 - both) * (1 / n_p + 1 / n_u))
-    z[in_p < max(MIN_DOCS, MIN_SHARE * n_p)] = 0
     best = np.argsort(-z, kind="stable")[:MAX_FEATURES]
-    return np.sort(best[z[best] >= MIN_Z])
+    return np.sort(names[best[z[best] >= MIN_Z]])
 
 
 def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> ToxicModel:
@@ -182,25 +187,19 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
     if not (role == 1).any() or not (role == 0).any():
         return ToxicModel({}, -35.0)
     toxic = np.array([-1 if texts[k] is None else texts[k] for k in sorted(texts)])
-    row = np.repeat(np.arange(len(role)), [len(h) // 4 for _, h in sorted(texts)])
-    names, col = np.unique(np.frombuffer(b"".join(h for _, h in sorted(texts)), "<u4"), return_inverse=True)
-    chosen = choose(role, row, col, len(names))
-    place = np.full(len(names), -1)
-    place[chosen] = np.arange(len(chosen))
-    on = place[col] >= 0
-    row, col = row[on], place[col[on]]
+    hashes = [np.frombuffer(h, "<u4") for _, h in sorted(texts)]
+    names = choose(role, hashes)
+    # of a document only the chosen features are held, so memory is that of one document's features
+    found = [np.flatnonzero(np.isin(names, h, assume_unique=True)) for h in hashes]
     parts = []
     for k in (1, 0):
-        at = np.flatnonzero(role == k)
-        new = np.full(len(role), -1)
-        new[at] = np.arange(len(at))
-        mine = new[row] >= 0
-        parts.append(Sparse(new[row[mine]], col[mine], len(at)))
-    w, b = nnpu_fit(*parts, len(chosen), float(mean))
+        mine = [f for f, r in zip(found, role, strict=True) if r == k]
+        parts.append(Sparse(np.repeat(np.arange(len(mine)), [len(f) for f in mine]), np.concatenate([*mine, np.zeros(0, np.int64)]), len(mine)))
+    w, b = nnpu_fit(*parts, len(names), float(mean))
     margins = parts[1].dot(w) + b
     told = toxic[role == 0]
     slope, offset = calibrate(margins[told >= 0], told[told >= 0])
-    return ToxicModel({int(names[c]): float(slope * x) for c, x in zip(chosen, w, strict=True) if abs(x) > 1e-6}, slope * b + offset)
+    return ToxicModel({int(h): float(slope * x) for h, x in zip(names, w, strict=True) if abs(x) > 1e-6}, slope * b + offset)
 
 
 def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
