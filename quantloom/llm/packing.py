@@ -52,7 +52,7 @@ def token_pieces(docs: DataFrame, path: str, pattern: str, capacity: int = CAPAC
     """docs (doc_id, text) → pieces of at most `capacity` tokens, the end token included. Only
     documents over capacity are cut; their first piece takes what does not fill a sequence."""
     kinds = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
-    schema = pa.schema(kinds + [("ids", pa.list_(pa.uint32()))] * with_ids)
+    schema = pa.schema(kinds + [("ids", pa.list_(pa.int64()))] * with_ids)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = byte_encoder(path, pattern)
