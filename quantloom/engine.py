@@ -70,7 +70,7 @@ class Engine:
     def _factors(self, models: list[Model], dates: Sequence[str], what: str, persist: frozenset[str], ordered: bool) -> DataFrame:
         if homeless := [m.name for m in models if m.universe is None]:
             raise ValueError(f"{what} needs a universe; {homeless} have none (see evaluate_outputs)")
-        days, began, parts = _dates(dates), time.perf_counter(), []
+        days, began, parts = self._sessions(dates), time.perf_counter(), []
         logger.info("%s.start models=%s dates=%s", what, [m.name for m in models], days)
         with self.span(what, model=",".join(m.name for m in models), dates=days):
             lowerings: dict[str, Lowering] = {}
@@ -116,7 +116,13 @@ class Engine:
         return self._lowering(model, dates).frame(node)
 
     def _lowering(self, model: Model, dates: Sequence[str]) -> Lowering:
-        return Lowering(self, model.universe, _dates(dates))
+        return Lowering(self, model.universe, self._sessions(dates))
+
+    def _sessions(self, dates: Sequence[str]) -> tuple[str, ...]:
+        days = _dates(dates)
+        for d in days:
+            self.catalog.calendar.previous_sessions(d, 1)  # raises for a day without a session
+        return days
 
     # --- sharing and profiling ------------------------------------------------------------------
 
