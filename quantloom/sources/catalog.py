@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import logging
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property, reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.plans.graph import BAR
@@ -37,6 +38,14 @@ def normalise(df: DataFrame, source: str, date: str | None = None) -> DataFrame:
     return df
 
 
+def codes(df: DataFrame, name: str, date: Column) -> DataFrame:
+    """(date, secu_code) of a universe file, whatever its code column is called."""
+    column = next((c for c in ("secu_code", "SecuCode", "sec_code") if c in df.columns), None)
+    if column is None:
+        raise ValueError(f"universe {name!r} has no code column; it has {df.columns}")
+    return df.select(date.alias("date"), F.substring(F.col(column).cast("string"), 1, 6).cast("long").alias("secu_code"))
+
+
 class Catalog:
     """Contracts, minute validation, universes and sessions over whatever `raw` reads."""
 
@@ -57,22 +66,23 @@ class Catalog:
             raise ValueError(f"source {source!r} has no registered identity keys")
         return KEYS[source]
 
-    def part(self, source: str, date: str) -> DataFrame:
-        df = normalise(self.raw(source, date), source, date)
+    def checked(self, df: DataFrame, source: str, dates: list[str], date: str | None = None) -> DataFrame:
+        """Normalised rows in contract order; raises if columns are missing or minutes off the calendar."""
+        df = normalise(df, source, date)
         if lost := [c for c in COLUMNS.get(source, []) if c not in df.columns]:
-            logger.error("source %s of %s lacks %s", source, date, lost)
-            raise ValueError(f"source {source!r} of {date} lacks columns {lost}; it has {df.columns}")
+            logger.error("source %s of %s lacks %s", source, dates[0], lost)
+            raise ValueError(f"source {source!r} of {dates[0]} lacks columns {lost}; it has {df.columns}")
         if "minute" in df.columns and self.validate:
-            self._check_minutes(df, source, date)
+            self._check_minutes(df, source, dates)
         return df.select(*COLUMNS.get(source, df.columns))
 
-    def _check_minutes(self, df: DataFrame, source: str, date: str) -> None:
-        if (source, date) in self._checked:
-            return
-        off = df.where(F.col("minute").isNotNull() & ~F.col("minute").isin(self.minutes.minbars()))
-        if bad := [r.minute for r in off.select("minute").distinct().limit(5).collect()]:
-            raise ValueError(f"source {source!r} of {date} has minutes off the calendar: {sorted(bad)}")
-        self._checked.add((source, date))
+    def _check_minutes(self, df: DataFrame, source: str, dates: list[str]) -> None:
+        """One job for all dates that were not checked before."""
+        new = [d for d in dates if (source, d) not in self._checked]
+        off = df.where(F.col("date").isin(new) & F.col("minute").isNotNull() & ~F.col("minute").isin(self.minutes.minbars()))
+        if new and (bad := [(r.date, r.minute) for r in off.select("date", "minute").distinct().limit(5).collect()]):
+            raise ValueError(f"source {source!r} has minutes off the calendar: {sorted(bad)}")
+        self._checked |= {(source, d) for d in new}
 
     def scan(self, source: str, dates: list[str]) -> DataFrame:
         """All rows of a source on some dates, in one DataFrame; columns a date lacks are null."""
@@ -82,17 +92,12 @@ class Catalog:
         return self._scans[key]
 
     def _scan(self, source: str, dates: list[str]) -> DataFrame:
-        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [self.part(source, d) for d in dates])
+        parts = [self.checked(self.raw(source, d), source, [d], d) for d in dates]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
     def universe(self, name: str, dates: list[str]) -> DataFrame:
         """(date, secu_code) of a universe on some dates, each once."""
-        parts = []
-        for d in dates:
-            raw = self.raw(f"universe/{name}", d)
-            column = next((c for c in ("secu_code", "SecuCode", "sec_code") if c in raw.columns), None)
-            if column is None:
-                raise ValueError(f"universe {name!r} of {d} has no code column; it has {raw.columns}")
-            parts.append(raw.select(F.lit(d).alias("date"), F.substring(F.col(column).cast("string"), 1, 6).cast("long").alias("secu_code")))
+        parts = [codes(self.raw(f"universe/{name}", d), name, F.lit(d)) for d in dates]
         return reduce(DataFrame.unionByName, parts).distinct()
 
     @cached_property
@@ -106,8 +111,8 @@ class Catalog:
 class ParquetCatalog(Catalog):
     """One Parquet file for each source and date: root/source/YYYYMMDD.parquet; sessions beside root.
 
-    Scans of a fixed contract whose files agree are one Spark read over the listed paths, so dates are
-    pruned by path and the footers are read in parallel.
+    Only the files of the dates asked for are listed. Files of one schema are one Spark scan, so a plan
+    over many dates does not grow with their number.
     """
 
     def __init__(self, spark: SparkSession, root: str, minutes: MinuteCalendar | None = None, *, calendar_path: str | None = None, validate: bool = True) -> None:
@@ -115,8 +120,34 @@ class ParquetCatalog(Catalog):
         self.root = str(root).rstrip("/")
         self.calendar_path = calendar_path or f"{self.root}/../external/trading_days.parquet"
 
+    def _path(self, source: str, date: str) -> str:
+        return f"{self.root}/{source}/{date}.parquet"
+
+    def _by_schema(self, source: str, dates: list[str]) -> list[tuple[DataFrame, list[str]]]:
+        """One DataFrame, with __file_date, for the dates whose files have the same schema."""
+        with ThreadPoolExecutor(8) as pool:
+            schemas = list(pool.map(lambda d: self.raw(source, d).schema, dates))
+        alike: dict[str, list[str]] = {}
+        for d, schema in zip(dates, schemas, strict=True):
+            alike.setdefault(schema.json(), []).append(d)
+        named = F.regexp_extract("_metadata.file_path", r"/([^/]+)\.parquet(?:/[^/]*)?$", 1)
+        read = lambda days: self.spark.read.schema(schemas[dates.index(days[0])]).parquet(*(self._path(source, d) for d in days))
+        return [(read(days).withColumn("__file_date", named), days) for days in alike.values()]
+
+    def _scan(self, source: str, dates: list[str]) -> DataFrame:
+        parts = []
+        for df, days in self._by_schema(source, dates):
+            if not {"date", "trading_day"} & set(df.columns):
+                df = df.withColumn("date", F.col("__file_date"))
+            parts.append(self.checked(df.drop("__file_date"), source, days))
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+    def universe(self, name: str, dates: list[str]) -> DataFrame:
+        parts = [codes(df, name, F.col("__file_date")) for df, _ in self._by_schema(f"universe/{name}", dates)]
+        return reduce(DataFrame.unionByName, parts).distinct()
+
     def raw(self, source: str, date: str) -> DataFrame:
-        path = f"{self.root}/{source}/{date}.parquet"
+        path = self._path(source, date)
         try:
             return self.spark.read.parquet(path)
         except (AnalysisException, Py4JJavaError) as bad:
@@ -149,13 +180,7 @@ class TableCatalog(Catalog):
         return self.tables[source]
 
     def _scan(self, source: str, dates: list[str]) -> DataFrame:
-        df = normalise(self._table(source), source)
-        if lost := [c for c in COLUMNS.get(source, []) if c not in df.columns]:
-            raise ValueError(f"source {source!r} lacks columns {lost}; it has {df.columns}")
-        df = df.where(F.col("date").isin(dates)).select(*COLUMNS.get(source, df.columns))
-        if "minute" in df.columns and self.validate:
-            self._check_minutes(df, source, ",".join(dates))
-        return df
+        return self.checked(self._table(source), source, dates).where(F.col("date").isin(dates))
 
     def universe(self, name: str, dates: list[str]) -> DataFrame:
         table = self._table(f"universe/{name}")

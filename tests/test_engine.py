@@ -229,6 +229,8 @@ def test_lookback_needs_history(engine):
         frame(engine, Source("trades_tbar", lookback_days=2), [DATE])
     both = frame(engine, Source("trades_tbar", lookback_days=2), ["20170104"])
     assert both.df.count() == 10 and both.fields["volume"].lookback == 2
+    assert both.df._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert {r.date for r in both.df.select("date").collect()} == {DATE, "20170104"}
 
 
 def test_evaluate_trace_and_profile(engine):
