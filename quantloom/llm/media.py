@@ -46,7 +46,7 @@ def wav_samples(media: bytes) -> bytes:
         return w.readframes(w.getnframes())
 
 
-def spectral_peaks(samples: bytes, size: int = 1024, hop: int = 512, block: int = 512) -> np.ndarray:
+def spectral_peaks(samples: bytes, size: int = 512, hop: int = 256, block: int = 512) -> np.ndarray:
     """The strongest local maximum in each of four bands of each frame: (frames, 4) bins, -1 for none."""
     x = np.frombuffer(samples, np.uint8)
     frames = max(1, 1 + -(-(len(x) - size) // hop))
@@ -63,19 +63,20 @@ def spectral_peaks(samples: bytes, size: int = 1024, hop: int = 512, block: int
             bins = band.argmax(1) + edges[k]
             rows = np.arange(n)
             top = power[rows, bins]
-            peak = (top > power[rows, bins - 1]) & (top >= power[rows, bins + 1]) & (top > 4 * band.mean(1))
+            peak = (top > power[rows, bins - 1]) & (top >= power[rows, bins + 1]) & (top > 2 * band.mean(1))
             best[peak, k] = bins[peak]
         found.append(best)
     return np.concatenate(found)
 
 
 def peak_pairs(peaks: np.ndarray, reach: int = 3) -> np.ndarray:
-    """Time-coded pairs: frame << 24 | first bin << 13 | second bin << 2 | distance, sorted."""
+    """Time-coded pairs: frame << 24 | first bin << 13 | second bin << 2 | distance, sorted. Pairs within a
+    frame, of neighbouring bands, tell short texts apart, which have a frame or two."""
     codes = [np.zeros(0, np.int64)]
-    for ahead in range(1, reach + 1):
-        a, b = peaks[:-ahead], peaks[ahead:]
+    for ahead in range(reach + 1):
+        a, b = peaks[: len(peaks) - ahead], peaks[ahead:]
         for i in range(4):
-            j = (i + ahead) % 4
+            j = (i + max(1, ahead)) % 4
             ok = np.flatnonzero((a[:, i] >= 0) & (b[:, j] >= 0))
             codes.append(ok.astype(np.int64) << 24 | a[ok, i].astype(np.int64) << 13 | b[ok, j].astype(np.int64) << 2 | ahead)
     return np.sort(np.concatenate(codes))
@@ -118,5 +119,6 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
     made = media_columns(table(spark, sf_dir, "documents"), keep_media=False)
-    feature = F.array_join(F.transform("pairs", lambda x: F.lower(F.hex(x))), " ")
+    pairs = F.array_join(F.transform("pairs", lambda x: F.lower(F.hex(x))), " ")
+    feature = F.concat_ws(":", F.col("payload_bytes").cast("string"), pairs)
     return made.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
