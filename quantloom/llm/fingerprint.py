@@ -32,7 +32,7 @@ PIECE = 100
 #: Cells of a third of a fingerprint, digests expected in a dealt table, cells of its thirds by size.
 BASE, LOAD, SIZES = 6, 8, (8, 16, 64, 512)
 #: Ids in one block of the neighbour search, and blocks in one group of blocks.
-NEAR, FAR = 512, 4096
+NEAR, FAR = 128, 4096
 
 
 # --- tables, as SQL over arrays -------------------------------------------------------------------
