@@ -6,6 +6,8 @@ expressions that queries and oracles share.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 
 from quantloom.engine import Engine
@@ -87,21 +89,22 @@ CTES = "WITH" + _CHAIN + ",\norderbook AS (\n  SELECT date, secu_code, tick_time
 TABLES = ("trades_tbar", "universe", "daily_k", "steporders", "steptrades", "orderbook")
 
 
-def bridge(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The market tables as DataFrames."""
+def bridge(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """One of the market tables as a DataFrame."""
     given = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("events", "orders", "lineitem")}
     text = CTES
     for t in given:
         text = text.replace(f"FROM {t}", f"FROM {{{t}}}")
-    return {t: spark.sql(f"{text} SELECT * FROM {t}", **given) for t in TABLES}
+    return spark.sql(f"{text} SELECT * FROM {table}", **given)
 
 
 def market(spark: SparkSession, sf_dir: str) -> tuple[Engine, list[str]]:
-    """An engine over the market tables, and its sessions."""
-    tables = bridge(spark, sf_dir)
-    sessions = sorted(r.date for r in tables["universe"].select("date").distinct().collect())  # days
-    tables["universe/all"] = tables.pop("universe")
-    tables["daily_k"] = tables["daily_k"].selectExpr("*", *(f"cast(null as double) as {c}" for c in _REST))
+    """An engine over the market tables, which are made when they are first read, and its sessions."""
+    days = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("replace(substring(cast(ts as string), 1, 10), '-', '') as date").distinct()
+    sessions = sorted(r.date for r in days.collect())
+    tables = {t: partial(bridge, spark, sf_dir, t) for t in TABLES if t != "universe"}
+    tables["universe/all"] = partial(bridge, spark, sf_dir, "universe")
+    tables["daily_k"] = lambda: bridge(spark, sf_dir, "daily_k").selectExpr("*", *(f"cast(null as double) as {c}" for c in _REST))
     return Engine(TableCatalog(spark, tables, sessions)), sessions
 
 

@@ -107,8 +107,11 @@ def _grouped(frame: Frame, df: DataFrame, keys: tuple[str, ...], agg: str, specs
         fields |= {o: frame.fields[p].plain() for p, o in zip(s.parts, s.outs, strict=True)}
     exprs += [agg_column(df, h, agg, order).alias(h) for h in hidden]
     fields |= {h: frame.fields[h] for h in hidden}
-    made = df.groupBy(EVAL, *keys).agg(*exprs).withColumns(again)
-    return Frame(made, keys, fields)
+    if frame.own_day:  # EVAL would only repeat the date in every shuffled row
+        made = df.groupBy(*keys).agg(*exprs).withColumn(EVAL, F.col("date"))
+    else:
+        made = df.groupBy(EVAL, *keys).agg(*exprs)
+    return Frame(made.withColumns(again), keys, fields, frame.own_day)
 
 
 def aggregated(

@@ -145,7 +145,7 @@ def _with_column(node: Node, frame: Frame) -> Frame:
         made, field = F.col(name), frame.fields[name].plain()
     else:
         made, field = _column_of(node.params["expr"], frame.columns), replace(frame.origin(), operator=node.params["name"])
-    return Frame(frame.df.withColumn(alias, made), frame.keys, frame.fields | {alias: field})
+    return Frame(frame.df.withColumn(alias, made), frame.keys, frame.fields | {alias: field}, frame.own_day)
 
 
 @register_operator("column")
@@ -157,7 +157,7 @@ def _column(node: Node, low: Lowering) -> Frame:
 def _rename(node: Node, low: Lowering) -> Frame:
     frame, alias = low.frame(node.inputs["input"]), node.params["alias"]
     old = frame.value("rename")
-    return Frame(frame.df.withColumnRenamed(old, alias), frame.keys, {alias if c == old else c: f for c, f in frame.fields.items()})
+    return Frame(frame.df.withColumnRenamed(old, alias), frame.keys, {alias if c == old else c: f for c, f in frame.fields.items()}, frame.own_day)
 
 
 @register_operator("op")
@@ -184,11 +184,12 @@ def _between(node: Node, low: Lowering) -> Frame:
         made = rolling(frame.df, frame.keys, name, *operands, alias=alias, window=node.params["window"], cross_day=node.params.get("cross_day", False))
     else:
         made = frame.df.withColumn(alias, arithmetic(name, operands))
-    return Frame(made, frame.keys, fields)
+    return Frame(made, frame.keys, fields, frame.own_day)
 
 
 def _joined(node: Node, low: Lowering) -> tuple[Frame, list[str], list[str]]:
     alias, keys, df = node.params["alias"], None, None
+    own_day = all(low.frame(child).own_day for child in node.inputs.values())
     fields: dict[str, Field] = {}
     components, hidden = [], []
     for k, (role, child) in enumerate(node.inputs.items()):
@@ -201,11 +202,11 @@ def _joined(node: Node, low: Lowering) -> tuple[Frame, list[str], list[str]]:
         value, component = frame.value("an operator between frames"), f"__op_{alias}_{k}"
         renamed = {h: f"__{role}_{h.removeprefix('__')}" for h in frame.hidden}
         part = frame.df.select(EVAL, *keys, F.col(value).alias(component), *(F.col(a).alias(b) for a, b in renamed.items()))
-        df = part if df is None else df.join(part, [EVAL, *keys], "inner")
+        df = part if df is None else df.join(part.drop(EVAL), list(keys), "inner") if own_day else df.join(part, [EVAL, *keys], "inner")
         fields |= {component: frame.fields[value].plain()} | {b: frame.fields[a] for a, b in renamed.items()}
         components.append(component)
         hidden += renamed.values()
-    return Frame(df, keys, fields), components, hidden
+    return Frame(df, keys, fields, own_day), components, hidden
 
 
 def _fused(node: Node, low: Lowering) -> tuple[Frame, list[str], list[str]] | None:
@@ -234,8 +235,8 @@ def _fused(node: Node, low: Lowering) -> tuple[Frame, list[str], list[str]] | No
         expression = _column_through(between, column, rows.columns)
         df, components = df.withColumn(component, expression), [*components, component]
         fields[component] = part.fields[column].plain()
-    wide = aggregated(Frame(df, rows.keys, fields), *step, agg=chains[0][2].params["agg"], minutes=low.engine.catalog.minutes, columns=components)
-    return Frame(wide.df.dropna(subset=list(wide.keys)), wide.keys, wide.fields), components, []
+    wide = aggregated(Frame(df, rows.keys, fields, rows.own_day), *step, agg=chains[0][2].params["agg"], minutes=low.engine.catalog.minutes, columns=components)
+    return Frame(wide.df.dropna(subset=list(wide.keys)), wide.keys, wide.fields, wide.own_day), components, []
 
 
 def _chain(node: Node) -> tuple[Node, list[Node], Node, tuple[str, str]] | None:

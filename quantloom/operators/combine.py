@@ -92,4 +92,4 @@ def _join(node: Node, low: Lowering) -> Frame:
 def _project(node: Node, low: Lowering) -> Frame:
     frame = low.frame(node.inputs["input"])
     fields = {c: replace(frame.fields[c], components=(), recompute=False) for c in (*frame.keys, *frame.values)}
-    return Frame(frame.df, frame.keys, fields)
+    return Frame(frame.df, frame.keys, fields, frame.own_day)

@@ -105,4 +105,4 @@ def _where(node: Node, low: Lowering) -> Frame:
     named = ["side"] if isinstance(condition, Side) else [condition.column, *getattr(condition, "over", ())]
     if lost := [c for c in named if c not in frame.columns]:
         raise ValueError(f"the filter's columns {lost} are not in {list(frame.columns)}")
-    return Frame(condition.keep(frame.df), frame.keys, frame.fields)
+    return Frame(condition.keep(frame.df), frame.keys, frame.fields, frame.own_day)

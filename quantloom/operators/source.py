@@ -36,4 +36,4 @@ def _source(node: Node, low: Lowering) -> Frame:
     catalog = low.engine.catalog
     keys = catalog.identity_keys(name)
     field = Field(source=name, lookback=lookback)
-    return Frame(seen(catalog.scan(name, dates), low, lookback), keys, {c: field for c in catalog.schema(name, dates)})
+    return Frame(seen(catalog.scan(name, dates), low, lookback), keys, {c: field for c in catalog.schema(name, dates)}, lookback == 1)

@@ -34,11 +34,13 @@ class Field:
 
 @dataclass(frozen=True)
 class Frame:
-    """A DataFrame with its identity keys and a Field for each column, in column order."""
+    """A DataFrame with its identity keys and a Field for each column, in column order. own_day says
+    that each row's evaluation date is its date, so groupings need not carry both."""
 
     df: DataFrame
     keys: tuple[str, ...]
     fields: dict[str, Field]
+    own_day: bool = False
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "df", self.df.select(EVAL, *self.fields))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property, reduce
 
@@ -164,12 +165,12 @@ class ParquetCatalog(Catalog):
 
 
 class TableCatalog(Catalog):
-    """Sources that are DataFrames with a date column, such as partitioned tables or views. A scan is one
-    filter on date, which prunes partitions; nothing is read date by date."""
+    """Sources that are DataFrames with a date column, such as partitioned tables or views, or functions
+    that make them. A scan is one filter on date, which prunes partitions; nothing is read date by date."""
 
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], sessions: list[str], minutes: MinuteCalendar | None = None, *, validate: bool = False) -> None:
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame | Callable[[], DataFrame]], sessions: list[str], minutes: MinuteCalendar | None = None, *, validate: bool = False) -> None:
         super().__init__(spark, minutes, validate=validate)
-        self.tables, self.days = tables, sessions
+        self.tables, self.days = dict(tables), sessions
 
     def raw(self, source: str, date: str) -> DataFrame:
         return self._table(source).where(F.col("date") == date)
@@ -177,6 +178,8 @@ class TableCatalog(Catalog):
     def _table(self, source: str) -> DataFrame:
         if source not in self.tables:
             raise FileNotFoundError(f"no table is registered for {source!r}")
+        if not isinstance(self.tables[source], DataFrame):
+            self.tables[source] = self.tables[source]()
         return self.tables[source]
 
     def _scan(self, source: str, dates: list[str]) -> DataFrame:
