@@ -41,6 +41,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     key = line.select("doc_id", "text_hash", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars)
     hashed = key.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc_id", "pos", "text_hash")
     order = ["h1", "h2", "doc_id", "pos"]
+    hashed = materialise(hashed, "line-hashes")  # range bounds are sampled first: texts are read and split once, not twice
     runs = hashed.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
     runs = materialise(runs.withColumn("run", F.spark_partition_id()), "line-runs")
 
