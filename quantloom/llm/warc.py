@@ -189,36 +189,25 @@ def train_dictionary(samples: list[bytes], size: int) -> bytes:
 
 
 def write_archives(records: Iterator[bytes], target_bytes: int = 8 << 20, dict_bytes: int = 16 << 10, level: int = 3) -> Iterator[bytes]:
-    """Archives of about `target_bytes` each. The dictionary is trained on the first megabyte of
-    the records that it serves; memory holds one archive and that megabyte."""
-    held, seen, writer, parts, size = [], 0, None, [], 0
-
-    def head() -> list[bytes]:
-        content = train_dictionary([x[:32768] for x in held], dict_bytes)
-        nonlocal writer
-        writer = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(content), write_checksum=True, write_content_size=True)
-        return [struct.pack("<II", DICT_MAGIC, len(content)), content]
-
-    for raw in records:
-        if writer is None:
-            held.append(raw)
+    """Archives of about `target_bytes` each. A dictionary is trained on the first megabyte of the
+    records of its archive; memory holds one archive and that megabyte."""
+    records = iter(records)
+    while True:
+        first, seen = [], 0
+        for raw in records:
+            first.append(raw)
             seen += len(raw)
-            if seen < 1 << 20:
-                continue
-            parts, batch, held_now = head(), held, []
-            held, seen = held_now, 0
-        else:
-            batch = [raw]
-        for x in batch:
-            parts.append(frame := writer.compress(x))
-            size += len(frame)
-        if size >= target_bytes:
-            yield b"".join(parts)
-            parts, size, writer = [], 0, None
-    if held:
-        parts = head()
-        parts += [writer.compress(x) for x in held]
-    if parts:
+            if seen >= 1 << 20:
+                break
+        if not first:
+            return
+        content = train_dictionary([x[:32768] for x in first], dict_bytes)
+        frames = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(content), write_checksum=True, write_content_size=True)
+        parts = [struct.pack("<II", DICT_MAGIC, len(content)), content, *map(frames.compress, first)]
+        size = sum(map(len, parts))
+        while size < target_bytes and (raw := next(records, None)) is not None:
+            parts.append(frames.compress(raw))
+            size += len(parts[-1])
         yield b"".join(parts)
 
 
