@@ -13,10 +13,11 @@ an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 import re
+from array import array
 from collections.abc import Iterator
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,26 +25,37 @@ from pyspark.sql import DataFrame, SparkSession
 from quantloom.llm.common import table
 
 END = "</w>"
+#: Character classes of the word split up to U+00FF, after lower-casing.
+LETTERS, NUMBERS, SPACES = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\x09-\x0d\x20\x85\xa0"
+#: The byte alphabet: printable bytes are themselves, the others the characters from U+0100 on.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_NAMES = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
 
 
 class _Table(dict):
-    """A dict that makes missing values and starts over when it holds `limit` of them."""
+    """A dict that makes missing values. It holds up to `limit` of them and the generation before,
+    from which values come back when they are asked for again."""
 
     def __init__(self, make, limit: int):
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.before = make, limit, {}
 
     def __missing__(self, key):
         if len(self) >= self.limit:
+            self.before = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        value = self.before.pop(key, None)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
 
 
 class WordBpe:
     """Encoder and decoder for a tokenizers-library file whose BPE marks word ends with </w>."""
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 200_000):
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
 
         spec = json.load(open(path, encoding="utf-8"))
         model = spec["model"]
@@ -55,22 +67,20 @@ class WordBpe:
         self.names = {i: t for t, i in self.vocab.items()} | {a["id"]: a["content"] for a in spec["added_tokens"]}
         self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self.merges = {}
-        for rank, pair in enumerate(model["merges"]):
-            a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[self.vocab[a], self.vocab[b]] = (rank, self.vocab[a + b])
-        inside = {t[i : i + 2] for name in self.vocab for t in [name.removesuffix(END)] for i in range(len(t) - 1)}
-        self.joinable = inside
-        self.fragments, self.words, self.chunks = _Table(self._fragment, limit), _Table(self._word, limit), _Table(self._chunk, limit)
-        self.ascii_words = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0d\x20a-z0-9]+")
-        if not all(0x21 <= ord(c) <= 0x7E for c in "".join(k for k in self.vocab if len(k) == 1) if ord(c) < 0x80):
-            raise ValueError("unexpected byte alphabet")
+        self.joinable = {t[i : i + 2] for name in self.vocab for t in [name.removesuffix(END)] for i in range(len(t) - 1)}
+        # a word's last fragment bears the word end, the others do not
+        inner = BPE(vocab=self.vocab, merges=[tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]])
+        self.merge = (inner.tokenize, library.model.tokenize)
+        self.fragments, self.words, self.chunks = _Table(self._fragment, limit // 4), _Table(self._word, limit // 2), _Table(self._chunk, limit)
+        # up to U+00FF normalising is lower-casing and the classes are short; \xaa to \xff letters have two bytes
+        self.latin_words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+").findall
+        self.to_bytes = {c: "".join(BYTE_NAMES[x] for x in chr(c).encode()) for c in range(256) if BYTE_NAMES.get(c) != chr(c) or c > 0x7F}
 
     def cuts(self, word: str) -> list[str]:
         """The fragments of a word in the byte alphabet: cut where no token has that byte pair."""
         at, found = 0, []
-        for i in range(1, len(word)):
-            if word[i - 1 : i + 1] not in self.joinable:
+        for i, ok in enumerate(map(self.joinable.__contains__, map(add, word, word[1:])), 1):
+            if not ok:
                 found.append(word[at:i])
                 at = i
         found.append(word[at:])
@@ -78,60 +88,30 @@ class WordBpe:
 
     def _fragment(self, key: tuple[str, bool]) -> tuple[int, ...]:
         text, last = key
-        ids = [self.vocab[c] for c in text[:-1]] + [self.vocab[text[-1] + END * last]]
-        return tuple(self._merge(ids) if len(ids) < 40 else self._merge_long(ids))
-
-    def _merge(self, ids: list[int]) -> list[int]:
-        while len(ids) > 1:
-            best, at = None, -1
-            for i in range(len(ids) - 1):
-                m = self.merges.get((ids[i], ids[i + 1]))
-                if m is not None and (best is None or m < best):
-                    best, at = m, i
-            if best is None:
-                break
-            ids[at : at + 2] = [best[1]]
-        return ids
-
-    def _merge_long(self, ids: list[int]) -> list[int]:
-        """The same by a heap over a linked list, for fragments without many cuts."""
-        n = len(ids)
-        after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        heap = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := self.merges.get((ids[i], ids[i + 1])))]
-        heapq.heapify(heap)
-        while heap:
-            _, i, a, b, new = heapq.heappop(heap)
-            j = after[i] if alive[i] else n
-            if j >= n or ids[i] != a or ids[j] != b:
-                continue
-            ids[i], alive[j], after[i] = new, False, after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < n and (m := self.merges.get((ids[x], ids[y]))):
-                    heapq.heappush(heap, (m[0], x, ids[x], ids[y], m[1]))
-        return [x for x, ok in zip(ids, alive, strict=True) if ok]
+        return tuple([t.id for t in self.merge[last](text)])
 
     def _word(self, word: str) -> tuple[int, ...]:
-        parts = self.cuts(word)
-        ids: tuple[int, ...] = ()
-        for k, part in enumerate(parts):
-            ids += self.fragments[part, k == len(parts) - 1]
+        if all(map(self.joinable.__contains__, map(add, word, word[1:]))):
+            return self._fragment((word, True))
+        *parts, last = self.cuts(word)
+        ids = self.fragments[last, True]
+        for part in reversed(parts):
+            ids = self.fragments[part, False] + ids
         return ids
 
     def _chunk(self, chunk: str) -> tuple[bytes, str]:
         """Ids (little-endian, 32 bits) and decoded text of a chunk without plain spaces or line feeds."""
         ids: list[int] = []
-        for k, part in enumerate(self.at_special.split(chunk)):
+        for k, part in enumerate(self.at_special.split(chunk) if "<|" in chunk else (chunk,)):
             if k % 2:
                 ids.append(self.special[part])
-            elif part.isascii():
-                for w in self.ascii_words.findall(part.lower()):
-                    ids += self.words[w] if w.isprintable() else self._word("".join(p for p, _ in self.pre_tokenise(w)))
-            elif part:
+            elif part.isascii() or max(part) <= "\xff":
+                for w in self.latin_words(part.lower()):
+                    ids += self.words[w if w.isascii() and w.isprintable() else w.translate(self.to_bytes)]
+            else:
                 for w, _ in self.pre_tokenise(self.normalise(part)):
                     ids += self.words[w]
-        return b"".join(i.to_bytes(4, "little") for i in ids), " ".join(self.names[i] for i in ids)
+        return array("I", ids).tobytes(), " ".join([self.names[i] for i in ids])
 
     def encode(self, text: str) -> bytes:
         table = self.chunks

@@ -47,10 +47,9 @@ def test_cuts_are_certain(both):
     assert any(len(ours.cuts("".join(w))) > 1 for w in ("zxqj", "qzvx", "jqxz"))
 
 
-def test_long_merge_equals_short(both):
-    ours = both[1]
-    ids = [ours.vocab[c] for c in "anotherandthenanotherone"]
-    assert ours._merge(list(ids)) == ours._merge_long(list(ids))
+def test_latin_path_equals_the_library(both):
+    for text in ("".join(map(chr, range(1, 256))), "ÀÉÎÕÜ÷×ßÞªµº ²³¹¼½¾ ­\xa0x", "\x85a\x1cb"):
+        agree(both, text)
 
 
 def test_rows(spark):
