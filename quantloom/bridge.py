@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quantloom.engine import Engine
 from quantloom.sources.catalog import TableCatalog
 
-_CHAIN = """
+_EVENTS = """
 base AS (
   SELECT event_id, replace(substring(CAST(ts AS STRING),1,10),'-','') AS date,
          CAST(user_id % 8 AS BIGINT) AS secu_code,
@@ -41,7 +41,9 @@ trades_tbar AS (
 universe AS (
   SELECT d.date, u.secu_code FROM (SELECT DISTINCT date FROM base) d
   CROSS JOIN (SELECT DISTINCT CAST(user_id % 10 AS BIGINT) AS secu_code FROM events) u),
-daily_k AS (SELECT date, secu_code, 10.0 + secu_code AS preclose FROM universe),
+daily_k AS (SELECT date, secu_code, 10.0 + secu_code AS preclose FROM universe)"""
+
+_ORDERS = """
 ord AS (
   SELECT CASE WHEN o_orderkey % 2 = 0 THEN 1 + o_orderkey % 3 ELSE 600000 + o_orderkey % 3 END AS secu_code,
          o_orderkey AS order_id,
@@ -72,7 +74,9 @@ steptrades AS (
          q AS volume,
          CAST(CASE WHEN ln = 7 AND secu_code < 600000 THEN -1 WHEN ln = 6 AND secu_code < 600000 THEN -11
               ELSE (ln + 1) % 2 END AS BIGINT) AS side
-  FROM dl),
+  FROM dl)"""
+
+_TICKS = """
 ob0 AS (
   SELECT date, secu_code, event_id,
          CAST(minute * 100000 + (event_id * 7 % 60) * 1000 + event_id % 1000 AS BIGINT) AS tick_time,
@@ -84,15 +88,20 @@ _LEVEL = """
          CASE WHEN event_id % 23 = 0 THEN NULL ELSE CAST(100 + event_id * {i} % 50 AS DOUBLE) END AS AskVolume{i},
          CASE WHEN event_id % 23 = 1 THEN NULL ELSE CAST(100 + event_id * {i} % 60 AS DOUBLE) END AS BidVolume{i}"""
 
-CTES = "WITH" + _CHAIN + ",\norderbook AS (\n  SELECT date, secu_code, tick_time, p AS price," + ",".join(_LEVEL.replace("{i}", str(i)) for i in range(1, 11)) + "\n  FROM ob0)\n"
+_BOOK = "orderbook AS (\n  SELECT date, secu_code, tick_time, p AS price," + ",".join(_LEVEL.replace("{i}", str(i)) for i in range(1, 11)) + "\n  FROM ob0)\n"
+
+CTES = "WITH" + ",".join([_EVENTS, _ORDERS, _TICKS, _BOOK])
 
-TABLES = ("trades_tbar", "universe", "daily_k", "steporders", "steptrades", "orderbook")
+#: Each table with the expressions and the driver tables that it needs.
+TABLES = {t: ([_EVENTS], ["events"]) for t in ("trades_tbar", "universe", "daily_k")}
+TABLES |= {t: ([_ORDERS], ["orders", "lineitem"]) for t in ("steporders", "steptrades")} | {"orderbook": ([_EVENTS, _TICKS, _BOOK], ["events"])}
 
 
 def bridge(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One of the market tables as a DataFrame."""
-    given = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("events", "orders", "lineitem")}
-    text = CTES
+    chain, driver_tables = TABLES[table]
+    given = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in driver_tables}
+    text = "WITH" + ",".join(chain)
     for t in given:
         text = text.replace(f"FROM {t}", f"FROM {{{t}}}")
     return spark.sql(f"{text} SELECT * FROM {table}", **given)

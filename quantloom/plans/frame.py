@@ -43,7 +43,8 @@ class Frame:
     own_day: bool = False
 
     def __post_init__(self) -> None:
-        object.__setattr__(self, "df", self.df.select(EVAL, *self.fields))
+        if self.df.columns != [EVAL, *self.fields]:
+            object.__setattr__(self, "df", self.df.select(EVAL, *self.fields))
 
     @property
     def columns(self) -> tuple[str, ...]:
