@@ -128,17 +128,55 @@ def vantage_leaves(fps: np.ndarray, radius: int, leaf: int = LEAF) -> Iterator[n
         if (d <= middle).all():
             middle -= 1
         inner = d <= middle
-        if not inner.any() or depth > 40 or np.count_nonzero(~inner & (d <= middle + radius)) > 0.9 * len(homes):
+        # where most of the outside would visit the inside, a split only copies rows
+        if not inner.any() or depth > 40 or np.count_nonzero(~inner & (d <= middle + radius)) > 0.42 * len(homes):
             yield np.concatenate([homes, guests])
             continue
         todo.append((homes[inner], np.concatenate([guests[g <= middle + radius], homes[~inner & (d <= middle + radius)]]), depth + 1))
         todo.append((homes[~inner], guests[g > middle - radius], depth + 1))
 
 
+def _grow_dense(fps: np.ndarray, radius: int, each: int = 8) -> list[tuple[int, int]]:
+    """A near-minimal forest for a leaf that vantage points cannot split. What lies within half the radius
+    is joined first, breadth-first, in time linear in a dense group's size; then up to `each` members
+    of every group, evenly spaced, are joined by nearest distance."""
+    edges = _grow(fps, radius // 2, False)
+    root = np.arange(len(fps))
+    for a, b in edges:  # breadth-first: a has its root already
+        root[b] = root[a]
+    order = np.argsort(root, kind="stable")
+    starts = np.flatnonzero(np.concatenate([[True], root[order][1:] != root[order][:-1]]))
+    groups = np.split(order, starts[1:])
+    picked = np.concatenate([g if len(g) <= each else g[np.linspace(0, len(g) - 1, each).astype(int)] for g in groups])
+    return edges + [(int(picked[a]), int(picked[b])) for a, b in _grow(fps[picked], radius, True)]
+
+
 def shard_links(fps: np.ndarray, radius: int, nearest: bool) -> list[tuple[int, int]]:
+    """Links of a shard. Leaves beyond twice LEAF are such as no vantage point splits."""
     if len(fps) <= LEAF:
         return _grow(fps, radius, nearest)
-    return [(int(at[a]), int(at[b])) for at in vantage_leaves(fps, radius) for a, b in _grow(fps[at], radius, nearest)]
+    found = []
+    for at in vantage_leaves(fps, radius):
+        made = _grow_dense(fps[at], radius) if nearest and len(at) > 2 * LEAF else _grow(fps[at], radius, nearest)
+        found += [(int(at[a]), int(at[b])) for a, b in made]
+    return _spanning(found)
+
+
+def _spanning(edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Those edges that join what the ones before them left apart."""
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    kept = []
+    for a, b in edges:
+        if (x := top(a)) != (y := top(b)):
+            root[max(x, y)] = min(x, y)
+            kept.append((a, b))
+    return kept
 
 
 def _small_links(keys: np.ndarray, fps: np.ndarray, radius: int, size: int) -> list[tuple[int, int]]:
@@ -154,19 +192,7 @@ def _small_links(keys: np.ndarray, fps: np.ndarray, radius: int, size: int) -> l
     if not found:
         return []
     pairs = np.concatenate(found)
-    root: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while (up := root.get(x, x)) != x:
-            root[x] = x = root.get(up, up)
-        return x
-
-    edges = []
-    for _, a, b in pairs[np.lexsort((pairs[:, 2], pairs[:, 1], pairs[:, 0]))].tolist():
-        if (x := top(a)) != (y := top(b)):
-            root[max(x, y)] = min(x, y)
-            edges.append((a, b))
-    return edges
+    return _spanning(pairs[np.lexsort((pairs[:, 2], pairs[:, 1], pairs[:, 0]))][:, 1:].tolist())
 
 
 SMALL = 64

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import xxhash
@@ -131,6 +132,18 @@ def test_dense_group_stays_linear():
     assert len(simhash._grow(fps, 4, False)) == len(fps) - 1
 
 
+def test_dense_shards_of_wide_fingerprints():
+    rnd = np.random.default_rng(9)
+    centres = rnd.integers(0, 2**63, (3, 4), dtype=np.uint64)
+    flips = rnd.random((6000, 4, 64)) < 0.04
+    noise = np.packbits(flips, axis=-1).view(">u8").astype(np.uint64).reshape(6000, 4)
+    fps = np.concatenate([centres[np.arange(6000) % 3] ^ noise, rnd.integers(0, 2**63, (500, 4), dtype=np.uint64)])
+    began = time.perf_counter()
+    root = connected(len(fps), simhash.shard_links(fps, 52, True))
+    assert {tuple(sorted({root[k] for k in range(c, 6000, 3)})) for c in range(3)} == {(0,), (1,), (2,)}
+    assert len(set(root[6000:])) == 500 and time.perf_counter() - began < 30
+
+
 def test_components(spark):
     rnd = random.Random(7)
     edges = [(k, k + 1) for k in range(200)] + [(1000, 1000 + k) for k in range(1, 300)] + [(rnd.randrange(5000, 5400), rnd.randrange(5000, 5400)) for _ in range(150)]
