@@ -154,6 +154,10 @@ _A = "SELECT date, secu_code, minute, sum(volume) AS x FROM trades_tbar GROUP BY
 _B = "SELECT date, secu_code, minute, sum(price * volume) AS y FROM trades_tbar WHERE side = 0 GROUP BY 1, 2, 3"
 for _name, _expr in (("add", "x + y"), ("sub", "x - y"), ("mul", "x * y"), ("div", "x / nullif(y, 0)")):
     _node(f"frame_op_{_name}", Project()(Op(_name, metric("volume")(BARS), metric("buyamount")(BARS), alias="z")), f"SELECT date, secu_code, minute, {_r(_expr, 'z')} FROM ({_A}) JOIN ({_B}) USING (date, secu_code, minute)")
+_node(
+    "frame_op_fused", Project()(Op("sub", metric("high")(BARS), metric("low")(BARS), alias="z")),
+    f"SELECT date, secu_code, minute, {_r('max(price) - min(price)', 'z')} FROM trades_tbar GROUP BY 1, 2, 3",
+)
 _node("scalar_op", Project()((2 * metric("volume")(BARS) - 1).alias("z")), f"SELECT date, secu_code, minute, {_r('2 * x - 1', 'z')} FROM ({_A})")
 _node("rename", Project()(Project()(metric("volume")(BARS)).alias("lots")), f"SELECT date, secu_code, minute, {_r('x', 'lots')} FROM ({_A})")
 

@@ -93,19 +93,20 @@ def _specs(frame: Frame, keys: tuple[str, ...], apply_to: str, columns: list[str
     return specs, [h for h in frame.hidden if h not in taken and h not in columns]
 
 
-def _grouped(frame: Frame, df: DataFrame, keys: tuple[str, ...], agg: str, specs: list[_Spec], hidden: list[str], order: list[str], step: tuple[str, str] | None) -> Frame:
+def _grouped(frame: Frame, df: DataFrame, keys: tuple[str, ...], agg: str | dict[str, str], specs: list[_Spec], hidden: list[str], order: list[str], step: tuple[str, str] | None) -> Frame:
     exprs, again, fields = [], {}, {k: frame.fields.get(k, Field()).plain() for k in keys}
+    of = lambda column: agg if isinstance(agg, str) else agg[column]
     for s in specs:
         field = replace(s.field.plain(), path=s.field.path + ((step,) if step else ()))
         if s.parts:
-            exprs += [agg_column(df, p, agg, order).alias(o) for p, o in zip(s.parts, s.outs, strict=True)]
+            exprs += [agg_column(df, p, of(p), order).alias(o) for p, o in zip(s.parts, s.outs, strict=True)]
             again[s.output] = arithmetic(s.field.operator, [F.col(o) for o in s.outs])
             field = replace(field, operator=s.field.operator, components=s.outs, recompute=True)
         else:
-            exprs.append(agg_column(df, s.source, agg, order).alias(s.output))
+            exprs.append(agg_column(df, s.source, of(s.source), order).alias(s.output))
         fields[s.output] = field
         fields |= {o: frame.fields[p].plain() for p, o in zip(s.parts, s.outs, strict=True)}
-    exprs += [agg_column(df, h, agg, order).alias(h) for h in hidden]
+    exprs += [agg_column(df, h, of(h), order).alias(h) for h in hidden]
     fields |= {h: frame.fields[h] for h in hidden}
     if frame.own_day:  # EVAL would only repeat the date in every shuffled row
         made = df.groupBy(*keys).agg(*exprs).withColumn(EVAL, F.col("date"))
@@ -115,10 +116,11 @@ def _grouped(frame: Frame, df: DataFrame, keys: tuple[str, ...], agg: str, specs
 
 
 def aggregated(
-    frame: Frame, frequency: str, auction: str, *, agg: str, minutes: MinuteCalendar, apply_to: str = "field",
+    frame: Frame, frequency: str, auction: str, *, agg: str | dict[str, str], minutes: MinuteCalendar, apply_to: str = "field",
     value_col: str | None = None, alias: str | None = None, columns: list[str] | None = None,
 ) -> Frame:
-    """The frame at a coarser grain. `columns` may name hidden columns to aggregate as values."""
+    """The frame at a coarser grain. `columns` may name hidden columns to aggregate as values, and agg may
+    then be a function for each."""
     if value_col is not None and value_col not in frame.columns:
         raise ValueError(f"value_col {value_col!r} is not in {list(frame.columns)}")
     chosen = columns or ([value_col] if value_col is not None else list(frame.values))

@@ -220,9 +220,7 @@ def _fused(node: Node, low: Lowering) -> tuple[Frame, list[str], list[str]] | No
     if None in chains or len({(root.id, step) for root, _, _, step in chains}) != 1:
         return None
     root, step = chains[0][0], chains[0][3]
-    if any(agg.params["agg"] != chains[0][2].params["agg"] for _, _, agg, _ in chains):
-        return None
-    rows, components = low.frame(root), []
+    rows, components, aggs = low.frame(root), [], {}
     df, fields = rows.df, {k: rows.fields[k] for k in rows.keys}
     for k, (_, between, agg, _) in enumerate(chains):
         part = rows
@@ -234,8 +232,8 @@ def _fused(node: Node, low: Lowering) -> tuple[Frame, list[str], list[str]] | No
         component = f"__op_{node.params['alias']}_{k}"
         expression = _column_through(between, column, rows.columns)
         df, components = df.withColumn(component, expression), [*components, component]
-        fields[component] = part.fields[column].plain()
-    wide = aggregated(Frame(df, rows.keys, fields, rows.own_day), *step, agg=chains[0][2].params["agg"], minutes=low.engine.catalog.minutes, columns=components)
+        fields[component], aggs[component] = part.fields[column].plain(), agg.params["agg"]
+    wide = aggregated(Frame(df, rows.keys, fields, rows.own_day), *step, agg=aggs, minutes=low.engine.catalog.minutes, columns=components)
     return Frame(wide.df.dropna(subset=list(wide.keys)), wide.keys, wide.fields, wide.own_day), components, []
 
 

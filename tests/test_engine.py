@@ -148,6 +148,8 @@ def test_fused_operands_need_one_exchange(engine):
     vwap = metric("vwap")(SRC)
     plan = frame(engine, vwap).df._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    span = frame(engine, metric("high")(SRC) - metric("low")(SRC))
+    assert "Join" not in span.df._jdf.queryExecution().executedPlan().toString() and at(engine, Project()(metric("high")(SRC) - metric("low")(SRC)))[930] == pytest.approx(0.1)
     apart = frame(engine, metric("buyamount")(SRC) / metric("amount")(SRC)).df._jdf.queryExecution().executedPlan().toString()
     assert "Join" in apart
 
