@@ -37,8 +37,16 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Estimated bytes of a partition that is dealt out by number, which adaptive execution cannot split.
+PARTITION_BYTES, MAX_PARTITIONS = 256 << 20, 200_000
+
+
+def partitions(table: DataFrame, times: float = 1) -> int:
+    """Partitions for dealing out `times` a table read from files: the session's number, or more if
+    the files are so large. (Estimates of joins are products, so pass what was read, not what was joined.)"""
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    session = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(session, min(MAX_PARTITIONS, int(size * times) // PARTITION_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

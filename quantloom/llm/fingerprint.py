@@ -130,7 +130,7 @@ def _next_block(blocks: DataFrame) -> DataFrame:
 
 def with_next(docs: DataFrame) -> DataFrame:
     """(doc_id, text, next_text): the text of the next row by descending doc_id; nulls become ''."""
-    n = partitions(docs.sparkSession)
+    n = partitions(docs)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.floor(F.col("doc_id") / NEAR), F.lit(-(2**55))).cast("long").alias("block"))
     rows = rows.repartition(n, "block")
     order = W.partitionBy("block").orderBy(F.desc_nulls_last("doc_id"), F.xxhash64("text"))

@@ -34,7 +34,6 @@ def line_key(line: Column) -> Column:
 
 def dropped_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     """(doc_id, text_hash, pos) of every line whose key a smaller doc_id holds too."""
-    spark = docs.sparkSession
     line = docs.where(F.col("doc_id").isNotNull()).select(
         "doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(split_lines(F.col("text"))).alias("pos", "line")
     )
@@ -42,7 +41,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     hashed = key.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc_id", "pos", "text_hash")
     order = ["h1", "h2", "doc_id", "pos"]
     hashed = materialise(hashed, "line-hashes")  # range bounds are sampled first: texts are read and split once, not twice
-    runs = hashed.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    runs = hashed.repartitionByRange(partitions(hashed), *order).sortWithinPartitions(*order)
     runs = materialise(runs.withColumn("run", F.spark_partition_id()), "line-runs")
 
     # at most two rows a run: its first and last hash, the only ones that can reach into another run

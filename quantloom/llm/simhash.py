@@ -17,6 +17,7 @@ Equal fingerprints are one node from the start.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -198,7 +199,7 @@ def _small_links(keys: np.ndarray, fps: np.ndarray, radius: int, size: int) -> l
 SMALL = 64
 
 
-def forest_links(rows: DataFrame, radius: int, lanes: int = 1, nearest: bool = False) -> DataFrame:
+def forest_links(rows: DataFrame, radius: int, lanes: int = 1, nearest: bool = False, parts: int | None = None) -> DataFrame:
     """(key, id, fp) → (u, v) links between ids, a spanning forest for each key's shard."""
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,8 +231,8 @@ def forest_links(rows: DataFrame, radius: int, lanes: int = 1, nearest: bool = F
         if held:
             yield settle(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    n = partitions(rows.sparkSession)
-    return rows.repartition(n, "key").sortWithinPartitions("key", "id").select("key", "id", "fp").mapInArrow(links, "u long, v long").distinct()
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "key").sortWithinPartitions("key", "id").select("key", "id", "fp").mapInArrow(links, "u long, v long").distinct()
 
 
 def split_hot(rows: DataFrame, radius: int, hot: int = 200_000, rounds: int = 2) -> DataFrame:
@@ -286,11 +287,11 @@ def near_groups(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     any other; repeated rows are kept; a null doc_id is no member of its component's minimum
     (the component is null if nothing else is in it); an empty table gives an empty result.
     """
-    spark = docs.sparkSession
     fps = materialise(fingerprints(docs, words).withColumn("fp", F.conv(F.hex("fp"), 16, -10).cast("long")), "fingerprints")
     nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")), "nodes")
-    keys = nodes.select(F.explode(block_keys(F.col("fp"), radius, blocks_for(nodes.count(), radius))).alias("key"), F.col("fp").alias("id"), F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("fp"))
-    linked = components(forest_links(split_hot(keys, radius), radius))
+    blocks = blocks_for(nodes.count(), radius)
+    keys = nodes.select(F.explode(block_keys(F.col("fp"), radius, blocks)).alias("key"), F.col("fp").alias("id"), F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("fp"))
+    linked = components(forest_links(split_hot(keys, radius), radius, parts=partitions(nodes, 2 * comb(blocks, radius))))
     grouped = nodes.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "low", "n", "component")
     lows = grouped.where(F.col("component").isNotNull()).groupBy(F.col("component").alias("__c")).agg(F.min("low").alias("__low"))
     # only fingerprints that are shared or linked are looked up; the others' component is their own document
@@ -400,7 +401,7 @@ def duplicate_ids(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> D
     bits, trees = tree_bits(nodes.count(), similarity)
     share = bit_share(similarity)
     radius = int(np.ceil(64 * LEAD * share + 2.5 * np.sqrt(64 * LEAD * share * (1 - share))))
-    links = forest_links(tree_rows(nodes.where("size > 0"), bits, trees), radius, LEAD, nearest=True)
+    links = forest_links(tree_rows(nodes.where("size > 0"), bits, trees), radius, LEAD, nearest=True, parts=partitions(nodes, trees * LEAD / LANES))
     side = lambda s: nodes.select(F.col("id").alias(s), F.col("fp").alias(f"{s}_fp"), F.col("size").alias(f"{s}_size"))
     scored = materialise(links.join(side("u"), "u").join(side("v"), "v").select("u", "v", _estimate("u", "v").alias("like")).where(F.col("like") >= similarity - UNSURE), "links")
     sure = scored.where(F.col("like") >= similarity + UNSURE).select("u", "v")

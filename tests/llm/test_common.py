@@ -37,3 +37,12 @@ def test_fold(spark):
     ids = [0, 1, 17, 123456789, -4, None]
     got = spark.createDataFrame([(i,) for i in ids], "doc_id long").select(common.held_out(F.col("doc_id")).alias("h")).collect()
     assert [r.h for r in got] == [i is not None and zlib.crc32(str(i).encode()) % 4 == 2 for i in ids]
+
+
+def test_partitions_follow_the_table(spark, tmp_path, monkeypatch):
+    spark.range(1000).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    session = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert common.partitions(df) == session
+    monkeypatch.setattr(common, "PARTITION_BYTES", 100)
+    assert common.partitions(df) > session and common.partitions(df, 1e9) == common.MAX_PARTITIONS
