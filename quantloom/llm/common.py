@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import re
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +32,23 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to Python workers once a Spark application, unless PYTHONPATH leads to it."""
+    root, context = Path(__file__).resolve().parents[2], spark.sparkContext
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or context.applicationId in _shipped:
+        return
+    made = shutil.make_archive(f"{tempfile.mkdtemp(prefix='quantloom-')}/quantloom", "zip", root, "quantloom")
+    context.addPyFile(made)  # the driver serves it to executors
+    _shipped.add(context.applicationId)
+
+
 def materialise(df: DataFrame, what: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there, so a lost
     executor costs a file read, and what later steps see cannot change on a retry."""
+    ship(df.sparkSession)
     path = scratch(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -50,6 +67,7 @@ def partitions(table: DataFrame, times: float = 1) -> int:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

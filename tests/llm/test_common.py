@@ -1,6 +1,10 @@
 """The shared scratch folder and the folds."""
 
+import os
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -46,3 +50,19 @@ def test_partitions_follow_the_table(spark, tmp_path, monkeypatch):
     assert common.partitions(df) == session
     monkeypatch.setattr(common, "PARTITION_BYTES", 100)
     assert common.partitions(df) > session and common.partitions(df, 1e9) == common.MAX_PARTITIONS
+
+
+def test_workers_find_the_package_from_any_folder(tmp_path):
+    """A driver that only has the repository on sys.path, in another working folder."""
+    root = Path(common.__file__).resolve().parents[2]
+    code = f"""
+import sys
+sys.path.insert(0, {str(root)!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+import __spark_entry__
+print("ROWS", __spark_entry__.queries()["op9_media_columns"](spark, "/root/testdata/sf0.001").count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)
+    assert "ROWS 200" in done.stdout, done.stderr[-2000:]
