@@ -303,75 +303,201 @@ def near_groups(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
 
 
 # --- near-duplicates by similarity ---------------------------------------------------------------
-
-#: Words of 64 bits in a wide fingerprint; the leading ones travel with the tree keys.
-LANES, LEAD = 16, 4
-#: Estimates this near the asked similarity are settled by the texts' shingle sets; the standard error
-#: of an estimate from 1024 bits is 0.028.
-UNSURE = 0.1
+#
+# The search is exact. In any one order of all shingles, two sets with a Jaccard similarity of t or more
+# share a shingle among the first n - ceil(t * n) + 1 of each, n its size. These prefixes are the
+# keys; every pair that shares one is a candidate, and only bounds that no true pair fails drop one before
+# the shingle sets are compared.
+
+#: Words of 64 bits in a parity map.
+LANES = 16
+#: The order puts shingles last that this many sampled documents hold at least; it only keeps shards small.
+SAMPLE, SAMPLE_SHARE, COMMON_DOCS, MAX_COMMON = 10_000, 0.02, 4, 100_000
+#: Shards of up to PAIRED rows give pairs; larger ones get the shingle sets, in blocks of so many rows and shingles.
+PAIRED, BLOCK_ROWS, BLOCK_SHINGLES = 64, 4096, 4_000_000
 #: Up to so many ids (8 bytes each) are broadcast; beyond, the join is shuffled.
 BROADCAST_IDS = 1_000_000
+#: Keeps rounding from dropping a pair of just the asked similarity.
+EPS = 1e-6
 
 
-def bit_share(similarity: float) -> float:
-    """Share of bits in which the SimHashes of two equally large sets of that Jaccard similarity differ."""
-    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+def parity_map(hashes: np.ndarray) -> np.ndarray:
+    """A bit for each of 64 * LANES cells: whether an odd number of the hashes falls there. Two maps differ in
+    at most as many bits as the sets differ in members."""
+    cells = np.bincount((hashes % np.uint64(64 * LANES)).astype(np.int64), minlength=64 * LANES)
+    return np.packbits((cells & 1).astype(np.uint8)).view("<u8").astype(np.uint64)
 
 
-def tree_bits(nodes: int, similarity: float, miss: float = 0.01) -> tuple[int, int]:
-    """Bits of a tree's key, which grow with the table so that shards do not, and the trees with
-    which a pair of just that similarity misses all shards with probability `miss` at most."""
-    bits = max(14, int(np.ceil(np.log2(max(2, nodes)))) - 4)
-    hit = (1 - bit_share(similarity)) ** bits
-    return bits, int(np.ceil(np.log(miss) / np.log1p(-hit)))
+def may_differ(sizes: np.ndarray | F.Column, similarity: float) -> np.ndarray | F.Column:
+    """Members in which two sets of that similarity or more, of `sizes` in all, differ at most."""
+    return sizes * ((1 - similarity) / (1 + similarity)) + EPS
 
 
-def tree_rows(nodes: DataFrame, bits: int, trees: int) -> DataFrame:
-    """(id, fp) → (key, id, fp): a row a tree, keyed by the tree's choice of bits; fp is cut to LEAD words."""
+def common_shingles(docs: DataFrame, words: int) -> np.ndarray:
+    """Shingles that many documents of a sample hold, rarest first: at most MAX_COMMON."""
+    share = max(SAMPLE / max(1, docs.count()), SAMPLE_SHARE)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chosen = [np.random.default_rng(t).choice(64 * LANES, bits, replace=False) for t in range(trees)]
-        weight = 1 << np.arange(bits, dtype=np.int64)
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                raw = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1)
-                on = np.unpackbits(raw, axis=1)
-                keys = np.stack([on[:, c] @ weight + (t << bits) for t, c in enumerate(chosen)], 1)
-                lead = pa.array([x[: 8 * LEAD] for x in part.column(1).to_pylist()], pa.binary())
-                again = np.repeat(np.arange(part.num_rows), trees)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), part.column(0).take(pa.array(again)), lead.take(pa.array(again))], ["key", "id", "fp"])
+            for at in range(0, b.num_rows, 500):
+                sets = [shingle_hashes(t.as_py(), words, distinct=True) for t in b.column(1).slice(at, 500)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["shingle"])
 
-    return nodes.select("id", "fp").mapInArrow(rows, "key long, id long, fp binary")
+    sampled = docs.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 20)) < int(min(1, share) * (1 << 20)))
+    counts = sampled.select("doc_id", "text").mapInArrow(rows, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    found = counts.where(F.col("n") >= COMMON_DOCS).orderBy(F.desc("n"), "shingle").limit(MAX_COMMON).collect()
+    return np.array([r.shingle for r in reversed(found)], np.int64).view(np.uint64)
 
 
-def wide_fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, fp, size, f1, f2): the wide SimHash of the set of shingles, its size, a 128-bit name."""
+def shingle_nodes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(doc_id, size, f1, f2, fp, prefix): the size of the set of shingles, its 128-bit name, its parity
+    map and its prefix."""
+    common = common_shingles(docs, words)
+    by_name = np.argsort(common)
+    sent = docs.sparkSession.sparkContext.broadcast((common[by_name], by_name))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, ranks = sent.value
+
+        def prefix(h: np.ndarray) -> bytes:
+            n = len(h) - int(np.ceil(similarity * len(h) - EPS)) + 1 if len(h) else 0
+            if len(names):
+                at = np.minimum(np.searchsorted(names, h), len(names) - 1)
+                late = names[at] == h
+                h = np.concatenate([h[~late], h[late][np.argsort(ranks[at[late]])]])
+            return h[:n].tobytes()
+
         for b in batches:
-            sets = (shingle_hashes(t.as_py(), words, distinct=True) for t in b.column(1))
-            made = [(majority_bits(h, LANES).astype(">u8").tobytes(), len(h)) for h in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in made], pa.binary()), pa.array([n for _, n in made], pa.int64())], ["doc_id", "fp", "size"])
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                made = [shingle_hashes(t.as_py(), words, distinct=True) for t in part.column(1)]
+                named = np.frombuffer(b"".join(xxhash.xxh3_128_digest(h.tobytes()) for h in made), "<i8").reshape(-1, 2)
+                columns = [pa.array([len(h) for h in made], pa.int64()), pa.array(named[:, 0].copy()), pa.array(named[:, 1].copy())]
+                columns += [pa.array([parity_map(h).astype(">u8").tobytes() for h in made], pa.binary()), pa.array([prefix(h) for h in made], pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", "size", "f1", "f2", "fp", "prefix"])
+
+    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, size long, f1 long, f2 long, fp binary, prefix binary")
+
+
+def prefix_rows(nodes: DataFrame) -> DataFrame:
+    """(id, size, prefix) → (key, id, pos, size): a row for each shingle of the prefix."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                keys = [np.frombuffer(x, np.int64) for x in part.column(2).to_pylist()]
+                again = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
+                pos = np.concatenate([np.arange(len(k)) for k in keys])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), part.column(0).take(again), pa.array(pos), part.column(1).take(again)], ["key", "id", "pos", "size"])
+
+    return nodes.select("id", "size", "prefix").mapInArrow(rows, "key long, id long, pos long, size long")
+
+
+def shard_pairs(rows: DataFrame, similarity: float, parts: int) -> DataFrame:
+    """(key, id, pos, size) of shards of up to PAIRED rows → (u, v) pairs of ids. The shard of the first
+    shingle that a true pair shares keeps it: what is left of both sets from there on is long enough."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def settle(keys: np.ndarray, ids: np.ndarray, pos: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for shift in range(1, len(keys)):
+                at = np.flatnonzero(keys[:-shift] == keys[shift:])
+                if not len(at):
+                    break
+                to = at + shift
+                left = np.minimum(size[at] - pos[at], size[to] - pos[to])
+                sizes = size[at] + size[to]
+                ok = sizes - 2 * left <= may_differ(sizes, similarity)
+                at, to = at[ok], to[ok]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(ids[to])], ["u", "v"])
+
+        held: list[tuple[np.ndarray, ...]] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(tuple(c.to_numpy() for c in b.columns))
+            if sum(len(x[0]) for x in held) < 200_000 or held[0][0][0] == held[-1][0][-1]:
+                continue
+            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+            cut = int(np.searchsorted(columns[0], columns[0][-1]))  # the last key may go on in the next batch
+            yield from settle(*(x[:cut] for x in columns))
+            held = [tuple(x[cut:] for x in columns)]
+        if held:
+            yield from settle(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return rows.repartition(parts, "key").sortWithinPartitions("key", "id").select("key", "id", "pos", "size").mapInArrow(pairs, "u long, v long").distinct()
+
+
+def similar_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of sorted sets with that similarity or more, breadth-first: a
+    member is compared with all that are not yet reached, and every link is verified."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    maps = np.stack([parity_map(s) for s in sets])
+    left, edges = np.arange(len(sets)), []
+    while len(left):
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            k = queue.pop()
+            both = sizes[left] + sizes[k]
+            near = np.flatnonzero(np.abs(sizes[left] - sizes[k]) <= may_differ(both, similarity))
+            near = near[_distance(maps[left[near]], maps[k]) <= may_differ(both[near], similarity)]
+            found = []
+            for at in range(0, len(near), 256):
+                some = near[at : at + 256]
+                of = np.concatenate([sets[x] for x in left[some].tolist()])
+                same = sets[k][np.minimum(np.searchsorted(sets[k], of), sizes[k] - 1)] == of
+                shared = np.add.reduceat(same, np.concatenate([[0], np.cumsum(sizes[left[some]])[:-1]]), dtype=np.int64)
+                found.append(some[shared >= similarity * (both[some] - shared)])
+            if found and len(hit := np.concatenate(found)):
+                reached = left[hit].tolist()
+                left = np.delete(left, hit)
+                queue += reached
+                edges += [(k, x) for x in reached]
+    return edges
+
+
+def hub_rows(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """(key, id, size) rows of hot shards (key, hub) → (key, id, size): shards of one hub, their smallest
+    id, are one, so the shards of a dense group, which have nearly the same members, are few."""
+    return rows.join(hot.select("key", "hub"), "key").select(F.col("hub").alias("key"), "id", "size").distinct()
 
-    made = docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, fp binary, size long")
-    return made.withColumns({"f1": F.xxhash64("fp", "size"), "f2": F.xxhash64(F.lit(1), "size", "fp")})
 
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """(key, id, size) → (key, id): every two blocks of a large shard meet in a shard of their own, so
+    any pair of its rows does."""
+    shards = rows.groupBy(F.col("key").alias("__key")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
+    split = shards.select("__key", F.when((F.col("n") <= 2 * BLOCK_ROWS) & (F.col("shingles") <= 2 * BLOCK_SHINGLES), 1).otherwise(blocks).cast("long").alias("__blocks"))
+    mine = F.pmod(F.xxhash64(F.lit(6), "id"), "__blocks")
+    dealt = rows.join(split, F.col("key") == F.col("__key")).select("key", "id", mine.alias("__a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1)).alias("__b"))
+    return dealt.select(F.xxhash64("key", F.least("__a", "__b"), F.greatest("__a", "__b")).alias("key"), "id")
 
-def _estimate(u: str, v: str) -> F.Column:
-    """Jaccard similarity from the differing bits of two wide fingerprints and the sets' sizes."""
-    words = [
-        F.bit_count(F.conv(F.hex(F.substring(f"{u}_fp", 8 * k + 1, 8)), 16, -10).cast("long").bitwiseXOR(F.conv(F.hex(F.substring(f"{v}_fp", 8 * k + 1, 8)), 16, -10).cast("long")))
-        for k in range(LANES)
-    ]
-    differ = sum(words[1:], words[0])
-    shared = F.cos(differ / (64.0 * LANES) * np.pi) * F.sqrt(F.col(f"{u}_size").cast("double") * F.col(f"{v}_size"))
-    return shared / F.greatest(F.col(f"{u}_size") + F.col(f"{v}_size") - shared, F.lit(1e-9))
 
+def shard_forests(rows: DataFrame, similarity: float, parts: int) -> DataFrame:
+    """(key, id, set) → (u, v): verified links, a spanning forest for each key's shard."""
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def settle(ids: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+            made = similar_forest(sets, similarity)
+            return pa.RecordBatch.from_arrays([pa.array([ids[a] for a, _ in made], pa.int64()), pa.array([ids[b] for _, b in made], pa.int64())], ["u", "v"])
+
+        key, ids, sets = None, [], []
+        for b in batches:
+            for k, i, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if k != key and ids:
+                    yield settle(ids, sets)
+                    ids, sets = [], []
+                key = k
+                ids.append(i)
+                sets.append(np.frombuffer(s.as_py(), np.uint64))
+        if ids:
+            yield settle(ids, sets)
+
+    return rows.repartition(parts, "key").sortWithinPartitions("key", "id").select("key", "id", "set").mapInArrow(links, "u long, v long").distinct()
 
-def exactly_similar(docs: DataFrame, links: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The (u, v) links between doc_ids whose shingle sets have a Jaccard similarity of `similarity` or more."""
-    ids = links.select(F.col("u").alias("__id")).union(links.select("v")).distinct()
+
+def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(id, set) of the documents that ids (__id) names, a row each."""
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,6 +505,13 @@ def exactly_similar(docs: DataFrame, links: DataFrame, words: int, similarity: f
             made = [shingle_hashes(t.as_py(), words, distinct=True).tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], ["id", "set"])
 
+    found = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("__id"), "left_semi").mapInArrow(sets, "id long, set binary")
+    return materialise(found.groupBy("id").agg(F.min("set").alias("set")), "sets")
+
+
+def exactly_similar(found: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
+    """The (u, v) links between ids of found (id, set) whose sets have a Jaccard similarity of `similarity` or more."""
+
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
@@ -388,24 +521,36 @@ def exactly_similar(docs: DataFrame, links: DataFrame, words: int, similarity: f
                 keep.append(shared >= similarity * (len(x) + len(y) - shared))
             yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    found = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("__id"), "left_semi").mapInArrow(sets, "id long, set binary")
-    found = materialise(found.groupBy("id").agg(F.min("set").alias("set")), "sets")
     of = lambda side: found.select(F.col("id").alias(side), F.col("set").alias(f"set_{side}"))
     return links.join(of("u"), "u").join(of("v"), "v").select("u", "v", "set_u", "set_v").mapInArrow(similar, "u long, v long")
 
 
+def similar_links(docs: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
+    """nodes (id, size, fp, prefix) → (u, v): verified links that join all that a similarity of
+    `similarity` or more joins. docs has the texts of the ids."""
+    rows = prefix_rows(nodes)
+    hot = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub")).where(F.col("n") > PAIRED)
+    hot = materialise(hot, "hot")
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_IDS else hot
+    rest = rows.join(hot, "key", "left_anti")
+    pairs = shard_pairs(rest, similarity, partitions(nodes, 4))
+    side = lambda s: nodes.select(F.col("id").alias(s), F.col("fp").alias(f"{s}_fp"), F.col("size").alias(f"{s}_size"))
+    word = lambda s, k: F.conv(F.hex(F.substring(f"{s}_fp", 8 * k + 1, 8)), 16, -10).cast("long")
+    differ = [F.bit_count(word("u", k).bitwiseXOR(word("v", k))) for k in range(LANES)]
+    both = F.col("u_size") + F.col("v_size")
+    pairs = materialise(pairs.join(side("u"), "u").join(side("v"), "v").where(sum(differ[1:], differ[0]) <= may_differ(both, similarity)).select("u", "v"), "pairs")
+    dealt = materialise(in_blocks(materialise(hub_rows(rows, hot), "hubs")), "blocks")
+    sets = shingle_sets(docs, pairs.select(F.col("u").alias("__id")).union(pairs.select("v")).union(dealt.select("id")).distinct(), words)
+    dense = shard_forests(dealt.join(sets, "id"), similarity, partitions(sets, 4))
+    return exactly_similar(sets, pairs, similarity).union(dense)
+
+
 def duplicate_ids(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id) of every document that has a smaller doc_id in its group of near copies."""
-    fps = materialise(wide_fingerprints(docs.where(F.col("doc_id").isNotNull()), words), "wide")
-    nodes = materialise(fps.groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.count(F.lit(1)).alias("n")), "wide-nodes")
-    bits, trees = tree_bits(nodes.count(), similarity)
-    share = bit_share(similarity)
-    radius = int(np.ceil(64 * LEAD * share + 2.5 * np.sqrt(64 * LEAD * share * (1 - share))))
-    links = forest_links(tree_rows(nodes.where("size > 0"), bits, trees), radius, LEAD, nearest=True, parts=partitions(nodes, trees * LEAD / LANES))
-    side = lambda s: nodes.select(F.col("id").alias(s), F.col("fp").alias(f"{s}_fp"), F.col("size").alias(f"{s}_size"))
-    scored = materialise(links.join(side("u"), "u").join(side("v"), "v").select("u", "v", _estimate("u", "v").alias("like")).where(F.col("like") >= similarity - UNSURE), "links")
-    sure = scored.where(F.col("like") >= similarity + UNSURE).select("u", "v")
-    linked = components(sure.union(exactly_similar(docs, scored.where(F.col("like") < similarity + UNSURE), words, similarity))).select("node", "component").where("node <> component")
+    docs = docs.where(F.col("doc_id").isNotNull())
+    fps = materialise(shingle_nodes(docs, words, similarity), "shingles")
+    nodes = materialise(fps.groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"), F.first("size").alias("size"), F.count(F.lit(1)).alias("n")), "nodes")
+    linked = components(similar_links(docs, nodes, words, similarity)).select("node", "component").where("node <> component")
     # a document goes if it is a later copy or its node is in an earlier one's component
     known = nodes.join(linked, F.col("id") == F.col("node"), "left").select("f1", "f2", F.coalesce("component", "id").alias("keeper"), "n", "component").where((F.col("n") > 1) | F.col("component").isNotNull())
     known = known.select("f1", "f2", "keeper", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
@@ -415,7 +560,7 @@ def duplicate_ids(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> D
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without near copies: of each group linked by a Jaccard similarity of word shingles of
-    `similarity` or more, found by wide SimHashes, the smallest doc_id stays.
+    `similarity` or more, the smallest doc_id stays.
 
     Defined results: all texts without words are copies of each other; a null doc_id always
     stays; repeated rows of the doc_id that stays all stay; other columns are passed through.

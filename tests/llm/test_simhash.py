@@ -171,3 +171,26 @@ def test_odd_documents(spark):
     groups = simhash.near_groups(docs).collect()
     assert {r.component for r in groups if r.doc_id in (3, 4)} == {3} and {r.component for r in groups if r.doc_id in (2, 5)} == {2} and len(groups) == 6
     assert simhash.near_groups(docs.limit(0)).collect() == [] and simhash.one_of_each(docs.limit(0)).collect() == []
+
+
+def edited(rnd, words, edits):
+    out = list(words)
+    for k in rnd.sample(range(5, len(out) - 5), edits):
+        out[k] = f"e{rnd.randrange(10**9)}"
+    return out
+
+
+def exact_keepers(docs, similarity=0.8):
+    sets = [(i, set(simhash.shingle_hashes(t, 5, True).tolist())) for i, t in docs]
+    want = slow_groups(sets, lambda x, y: len(x & y) >= similarity * len(x | y))
+    return {i for i, c in want.items() if i == c}
+
+
+def test_a_copy_beside_a_group_just_under_the_similarity(spark):
+    rnd, docs = random.Random(11), []
+    for _ in range(8):  # eight templates of 400 words: 60 texts at 0.77, and two at 0.82 of each other and 0.797 of those
+        base = [f"w{rnd.randrange(10**9)}" for _ in range(404)]
+        docs += [" ".join(edited(rnd, base, k)) for k in [5] * 60 + [4] * 2]
+    docs = list(enumerate(docs))
+    got = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == exact_keepers(docs)
