@@ -137,29 +137,13 @@ def vantage_leaves(fps: np.ndarray, radius: int, leaf: int = LEAF) -> Iterator[n
         todo.append((homes[~inner], guests[g > middle - radius], depth + 1))
 
 
-def _grow_dense(fps: np.ndarray, radius: int, each: int = 8) -> list[tuple[int, int]]:
-    """A near-minimal forest for a leaf that vantage points cannot split. What lies within half the radius
-    is joined first, breadth-first, in time linear in a dense group's size; then up to `each` members
-    of every group, evenly spaced, are joined by nearest distance."""
-    edges = _grow(fps, radius // 2, False)
-    root = np.arange(len(fps))
-    for a, b in edges:  # breadth-first: a has its root already
-        root[b] = root[a]
-    order = np.argsort(root, kind="stable")
-    starts = np.flatnonzero(np.concatenate([[True], root[order][1:] != root[order][:-1]]))
-    groups = np.split(order, starts[1:])
-    picked = np.concatenate([g if len(g) <= each else g[np.linspace(0, len(g) - 1, each).astype(int)] for g in groups])
-    return edges + [(int(picked[a]), int(picked[b])) for a, b in _grow(fps[picked], radius, True)]
-
-
 def shard_links(fps: np.ndarray, radius: int, nearest: bool) -> list[tuple[int, int]]:
-    """Links of a shard. Leaves beyond twice LEAF are such as no vantage point splits."""
+    """Links of a shard. Leaves are compared in full, also those that no vantage point splits."""
     if len(fps) <= LEAF:
         return _grow(fps, radius, nearest)
     found = []
     for at in vantage_leaves(fps, radius):
-        made = _grow_dense(fps[at], radius) if nearest and len(at) > 2 * LEAF else _grow(fps[at], radius, nearest)
-        found += [(int(at[a]), int(at[b])) for a, b in made]
+        found += [(int(at[a]), int(at[b])) for a, b in _grow(fps[at], radius, nearest)]
     return _spanning(found)
 
 

@@ -194,3 +194,25 @@ def test_a_copy_beside_a_group_just_under_the_similarity(spark):
     docs = list(enumerate(docs))
     got = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == exact_keepers(docs)
+
+
+def test_every_member_of_a_large_group_looks_for_neighbours(spark):
+    rnd = random.Random(12)
+    base = [f"w{rnd.randrange(10**9)}" for _ in range(300)]
+    group = [edited(rnd, base, 1) for _ in range(11_000)]
+    beside = [edited(rnd, group[k], 6) for k in range(5, 11_000, 500)]  # 0.82 of one member, 0.76 of the others
+    docs = list(enumerate(" ".join(x) for x in group + beside))
+    got = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(docs, "doc_id long, text string").repartition(16)).collect()}
+    assert got == {0}
+
+
+def test_blocks_of_a_shard_compare_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PAIRED", 4)
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 8)
+    rnd, docs = random.Random(13), []
+    for _ in range(3):
+        base = [f"w{rnd.randrange(10**9)}" for _ in range(150)]
+        docs += [" ".join(edited(rnd, base, rnd.choice([1, 2, 2, 3]))) for _ in range(60)]
+    docs = list(enumerate(docs))
+    got = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == exact_keepers(docs)
