@@ -216,3 +216,13 @@ def test_blocks_of_a_shard_compare_all_pairs(spark, monkeypatch):
     docs = list(enumerate(docs))
     got = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == exact_keepers(docs)
+
+
+def test_short_texts_of_just_the_similarity(spark):
+    rnd, docs = random.Random(14), []
+    for k in range(300):
+        text = [f"w{rnd.randrange(10**9)}" for _ in range(8)]
+        docs += [text, [*text, "more"] if k % 2 else ["more", *text]]  # 4 of 5 shingles
+    docs = list(enumerate(" ".join(x) for x in docs))
+    got = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == set(range(0, 600, 2))
