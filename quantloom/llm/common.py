@@ -1,12 +1,14 @@
-"""Shared helpers: the shared scratch folder, materialised tables, and column hygiene."""
+"""Shared helpers: the shared scratch folder, materialised tables, Arrow functions, joins with hot groups."""
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +30,7 @@ def scratch(spark: SparkSession, what: str) -> str:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="quantloom-")
+        atexit.register(shutil.rmtree, base, True)
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
@@ -40,20 +43,79 @@ def ship(spark: SparkSession) -> None:
     root, context = Path(__file__).resolve().parents[2], spark.sparkContext
     if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or context.applicationId in _shipped:
         return
-    made = shutil.make_archive(f"{tempfile.mkdtemp(prefix='quantloom-')}/quantloom", "zip", root, "quantloom")
-    context.addPyFile(made)  # the driver serves it to executors
+    folder = tempfile.mkdtemp(prefix="quantloom-")
+    atexit.register(shutil.rmtree, folder, True)
+    context.addPyFile(shutil.make_archive(f"{folder}/quantloom", "zip", root, "quantloom"))  # the driver serves it to executors
     _shipped.add(context.applicationId)
 
 
+def arrow_rows(df: DataFrame, rows: Callable, schema) -> DataFrame:
+    """`mapInArrow`, with the package shipped first: a Python function knows the files sent before it is made."""
+    ship(df.sparkSession)
+    return df.mapInArrow(rows, schema)
+
+
 def materialise(df: DataFrame, what: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there, so a lost
     executor costs a file read, and what later steps see cannot change on a retry."""
-    ship(df.sparkSession)
     path = scratch(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a materialised table that nothing reads any more."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class BoundedTable(dict):
+    """A dict that makes missing values. It holds up to `limit` of them and the generation before, from
+    which values come back when they are asked for again. Values of keys of over `longest`
+    characters are made each time, so its bytes are bounded whatever the keys."""
+
+    def __init__(self, make: Callable, limit: int, longest: int = 64):
+        self.make, self.limit, self.longest, self.before = make, limit, longest, {}
+
+    def __missing__(self, key):
+        if len(key) > self.longest:
+            return self.make(key)
+        if len(self) >= self.limit:
+            self.before = dict(self)
+            self.clear()
+        value = self.before.pop(key, None)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+
+#: Rows of a group from which it is joined by broadcast, and the most groups that may be.
+HOT_ROWS, HOT_GROUPS = 100_000, 1_000_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], hot: int = HOT_ROWS) -> DataFrame:
+    """rows left-joined with groups, which has one row for each key and `n`, how many rows have it. A group
+    of over `hot` rows goes by broadcast and its rows are not shuffled by the key; there is at most one
+    for each `hot` rows, and should there be over HOT_GROUPS, larger ones only are broadcast. Null keys find
+    nothing. Columns of groups besides the keys and n come through."""
+    large = materialise(groups.where(F.col("n") > hot), "hot-groups")
+    while large.count() > HOT_GROUPS:
+        hot *= 10
+        large = large.where(F.col("n") > hot)
+    names = [c for c in groups.columns if c not in (*keys, "n")]
+    side = lambda g, tag: g.select(*(F.col(k).alias(f"__{tag}_{k}") for k in keys), *(F.col(c).alias(f"__{tag}_{c}") for c in names), F.lit(True).alias(f"__{tag}"))
+    on = lambda tag: [F.col(k) == F.col(f"__{tag}_{k}") for k in keys]
+    first = rows.join(F.broadcast(side(large, "h")), on("h"), "left")
+    # rows that have found their group get a key of their own that no group has, so they spread
+    alone = F.when(F.col("__h").isNull() & F.col(keys[0]).isNotNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(*rows.columns).bitwiseOR(F.lit(1)))
+    second = side(groups.where(F.col("n") <= hot), "g").withColumn("__g_alone", F.lit(0).cast("long"))
+    found = first.withColumn("__alone", alone).join(second, [*on("g"), F.col("__alone") == F.col("__g_alone")], "left")
+    return found.select(*rows.columns, *(F.when(F.col("__h"), F.col(f"__h_{c}")).otherwise(F.col(f"__g_{c}")).alias(c) for c in names))
+
+
 #: Estimated bytes of a partition that is dealt out by number, which adaptive execution cannot split.
 PARTITION_BYTES, MAX_PARTITIONS = 256 << 20, 200_000
 
@@ -67,7 +129,6 @@ def partitions(table: DataFrame, times: float = 1) -> int:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from quantloom.llm.common import table
+from quantloom.llm.common import arrow_rows, table
 
 UNIT = 64
 RATE = 8000
@@ -112,7 +112,7 @@ def media_columns(docs: DataFrame, keep_media: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     kinds = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, pairs array<long>"
-    return docs.select("doc_id", "text").mapInArrow(rows, kinds + ", media binary" * keep_media)
+    return arrow_rows(docs.select("doc_id", "text"), rows, kinds + ", media binary" * keep_media)
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

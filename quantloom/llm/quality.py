@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import held_out, table
+from quantloom.llm.common import arrow_rows, held_out, table
 from quantloom.llm.toxicity import _sigmoid, calibrate, training_labels
 
 MAX_LABELLED, MAX_POOL = 12_000, 24_000
@@ -166,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(packed, pa.binary())], ["doc_id", "label", "x"])
 
     picked = docs.select("doc_id", "text", "lang", "source").join(F.broadcast(ids), "doc_id")  # ids are bounded
-    got = sorted(picked.mapInArrow(rows, "doc_id long, label int, x binary").collect(), key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, bytes(r.x)))
+    got = sorted(arrow_rows(picked, rows, "doc_id long, label int, x binary").collect(), key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, bytes(r.x)))
     y = np.array([-1 if r.label is None else r.label for r in got])
     base = float(y[y >= 0].mean()) if (y >= 0).any() else 1.0
     if not 0 < base < 1:
@@ -194,7 +194,7 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
                 made = [pa.array(x) for x in sent.value.score(*_views(b))]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), *made], ["doc_id", "p_text", "p_meta", "score"])
 
-    return docs.select("doc_id", "text", "lang", "source").mapInArrow(rows, "doc_id long, p_text double, p_meta double, score double")
+    return arrow_rows(docs.select("doc_id", "text", "lang", "source"), rows, "doc_id long, p_text double, p_meta double, score double")
 
 
 def accepted(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:
@@ -206,7 +206,7 @@ def accepted(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD)
             if b.num_rows:
                 yield b.filter(pa.array(sent.value.score(*_views(b))[2] >= threshold))
 
-    return docs.mapInArrow(rows, docs.schema)
+    return arrow_rows(docs, rows, docs.schema)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

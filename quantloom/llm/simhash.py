@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import UPPER, materialise, partitions, table
+from quantloom.llm.common import UPPER, arrow_rows, materialise, partitions, table
 from quantloom.llm.components import components
 
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame, words: int = 4, lanes: int = 1, distinct: bool
             fps = [majority_bits(shingle_hashes(t.as_py(), words, distinct), lanes).astype(">u8").tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary())], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, fp binary")
+    return arrow_rows(docs.select("doc_id", "text"), rows, "doc_id long, fp binary")
 
 
 # --- links within a shard -----------------------------------------------------------------------
@@ -216,7 +216,7 @@ def forest_links(rows: DataFrame, radius: int, lanes: int = 1, nearest: bool = F
             yield settle(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "key").sortWithinPartitions("key", "id").select("key", "id", "fp").mapInArrow(links, "u long, v long").distinct()
+    return arrow_rows(rows.repartition(parts, "key").sortWithinPartitions("key", "id").select("key", "id", "fp"), links, "u long, v long").distinct()
 
 
 def split_hot(rows: DataFrame, radius: int, hot: int = 200_000, rounds: int = 2) -> DataFrame:
@@ -328,7 +328,7 @@ def common_shingles(docs: DataFrame, words: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["shingle"])
 
     sampled = docs.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 20)) < int(min(1, share) * (1 << 20)))
-    counts = sampled.select("doc_id", "text").mapInArrow(rows, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    counts = arrow_rows(sampled.select("doc_id", "text"), rows, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
     found = counts.where(F.col("n") >= COMMON_DOCS).orderBy(F.desc("n"), "shingle").limit(MAX_COMMON).collect()
     return np.array([r.shingle for r in reversed(found)], np.int64).view(np.uint64)
 
@@ -360,7 +360,7 @@ def shingle_nodes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
                 columns += [pa.array([parity_map(h).astype(">u8").tobytes() for h in made], pa.binary()), pa.array([prefix(h) for h in made], pa.binary())]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", "size", "f1", "f2", "fp", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, size long, f1 long, f2 long, fp binary, prefix binary")
+    return arrow_rows(docs.select("doc_id", "text"), rows, "doc_id long, size long, f1 long, f2 long, fp binary, prefix binary")
 
 
 def prefix_rows(nodes: DataFrame) -> DataFrame:
@@ -375,7 +375,7 @@ def prefix_rows(nodes: DataFrame) -> DataFrame:
                 pos = np.concatenate([np.arange(len(k)) for k in keys])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), part.column(0).take(again), pa.array(pos), part.column(1).take(again)], ["key", "id", "pos", "size"])
 
-    return nodes.select("id", "size", "prefix").mapInArrow(rows, "key long, id long, pos long, size long")
+    return arrow_rows(nodes.select("id", "size", "prefix"), rows, "key long, id long, pos long, size long")
 
 
 def shard_pairs(rows: DataFrame, similarity: float, parts: int) -> DataFrame:
@@ -409,7 +409,7 @@ def shard_pairs(rows: DataFrame, similarity: float, parts: int) -> DataFrame:
         if held:
             yield from settle(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    return rows.repartition(parts, "key").sortWithinPartitions("key", "id").select("key", "id", "pos", "size").mapInArrow(pairs, "u long, v long").distinct()
+    return arrow_rows(rows.repartition(parts, "key").sortWithinPartitions("key", "id").select("key", "id", "pos", "size"), pairs, "u long, v long").distinct()
 
 
 def similar_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -477,7 +477,7 @@ def shard_forests(rows: DataFrame, similarity: float, parts: int) -> DataFrame:
         if ids:
             yield settle(ids, sets)
 
-    return rows.repartition(parts, "key").sortWithinPartitions("key", "id").select("key", "id", "set").mapInArrow(links, "u long, v long").distinct()
+    return arrow_rows(rows.repartition(parts, "key").sortWithinPartitions("key", "id").select("key", "id", "set"), links, "u long, v long").distinct()
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -489,7 +489,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
             made = [shingle_hashes(t.as_py(), words, distinct=True).tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], ["id", "set"])
 
-    found = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("__id"), "left_semi").mapInArrow(sets, "id long, set binary")
+    found = arrow_rows(docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("__id"), "left_semi"), sets, "id long, set binary")
     return materialise(found.groupBy("id").agg(F.min("set").alias("set")), "sets")
 
 
@@ -506,7 +506,7 @@ def exactly_similar(found: DataFrame, links: DataFrame, similarity: float) -> Da
             yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     of = lambda side: found.select(F.col("id").alias(side), F.col("set").alias(f"set_{side}"))
-    return links.join(of("u"), "u").join(of("v"), "v").select("u", "v", "set_u", "set_v").mapInArrow(similar, "u long, v long")
+    return arrow_rows(links.join(of("u"), "u").join(of("v"), "v").select("u", "v", "set_u", "set_v"), similar, "u long, v long")
 
 
 def similar_links(docs: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import held_out, table
+from quantloom.llm.common import arrow_rows, held_out, table
 
 MAX_POSITIVE, MAX_UNLABELLED = 2000, 5000
 THRESHOLD = 0.3
@@ -147,7 +147,7 @@ def _sample_features(docs: DataFrame, ids: DataFrame) -> list:
             yield pa.RecordBatch.from_arrays([b.column("role"), b.column("toxic"), pa.array(hashes, pa.binary())], ["role", "toxic", "hashes"])
 
     picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("role", "toxic", "text")
-    return picked.mapInArrow(rows, "role int, toxic int, hashes binary").collect()
+    return arrow_rows(picked, rows, "role int, toxic int, hashes binary").collect()
 
 
 def training_labels(labels: DataFrame, column: str) -> DataFrame:
@@ -211,7 +211,7 @@ def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([value(t.as_py()) for t in b.column(1)], pa.float64())], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, score double")
+    return arrow_rows(docs.select("doc_id", "text"), rows, "doc_id long, score double")
 
 
 def accepted(docs: DataFrame, model: ToxicModel, threshold: float = THRESHOLD) -> DataFrame:
@@ -223,7 +223,7 @@ def accepted(docs: DataFrame, model: ToxicModel, threshold: float = THRESHOLD) -
         for b in batches:
             yield b.filter(pa.array([value(t.as_py()) < threshold for t in b.column("text")], pa.bool_()))
 
-    return docs.mapInArrow(rows, docs.schema)
+    return arrow_rows(docs, rows, docs.schema)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import scratch, table
+from quantloom.llm.common import arrow_rows, scratch, table
 
 DICT_MAGIC = 0x184D2A5D
 SKIPPABLE = range(0x184D2A50, 0x184D2A60)
@@ -243,7 +243,7 @@ def write_warc(pages: DataFrame, path: str, target_bytes: int = 8 << 20) -> None
         for archive in write_archives(records, target_bytes):
             yield pa.RecordBatch.from_arrays([pa.array([archive], pa.binary())], ["archive"])
 
-    made = pages.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(archives, "archive binary")
+    made = arrow_rows(pages.select("page_id", "url", "payload", "digest", "refers_to"), archives, "archive binary")
     made.select(F.col("archive").cast("string").alias("value")).write.option("lineSep", SEPARATOR.decode("ascii")).option("maxRecordsPerFile", 1).text(path)
 
 
@@ -265,7 +265,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(rows, kinds)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInArrow(records, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return arrow_rows(files, records, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
