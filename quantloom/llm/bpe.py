@@ -3,7 +3,8 @@
 A byte pair that occurs inside no vocabulary token can never be merged across, so it is a certain
 cut: the fragments between cuts are encoded independently and their ids concatenated. White
 space never survives this tokenizer's word split, so texts are first taken apart at plain spaces and
-line feeds. Ids and decoded text of a chunk, a word and a fragment are kept in bounded tables.
+line feeds. Ids of a short chunk, word and fragment are kept in tables bounded by count and key length;
+time is linear in a word's length but for the merges within a fragment. Decoding reads the ids.
 
 Defined results: a null text is empty, with no ids and an empty decoded text; null and repeated
 doc_ids keep their rows; strings of special tokens in a text become those tokens, as the library has it;
@@ -17,12 +18,13 @@ import json
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 from operator import add
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from quantloom.llm.common import table
+from quantloom.llm.common import BoundedTable, arrow_rows, table
 
 END = "</w>"
 #: Character classes of the word split up to U+00FF, after lower-casing.
@@ -32,24 +34,6 @@ _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_NAMES = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
 
 
-class _Table(dict):
-    """A dict that makes missing values. It holds up to `limit` of them and the generation before,
-    from which values come back when they are asked for again."""
-
-    def __init__(self, make, limit: int):
-        self.make, self.limit, self.before = make, limit, {}
-
-    def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.before = dict(self)
-            self.clear()
-        value = self.before.pop(key, None)
-        if value is None:
-            value = self.make(key)
-        self[key] = value
-        return value
-
-
 class WordBpe:
     """Encoder and decoder for a tokenizers-library file whose BPE marks word ends with </w>."""
 
@@ -64,14 +48,15 @@ class WordBpe:
         library = Tokenizer.from_file(path)
         self.normalise, self.pre_tokenise = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         self.vocab = model["vocab"]
-        self.names = {i: t for t, i in self.vocab.items()} | {a["id"]: a["content"] for a in spec["added_tokens"]}
+        names = {i: t for t, i in self.vocab.items()} | {a["id"]: a["content"] for a in spec["added_tokens"]}
+        self.names = [names.get(i, "") for i in range(max(names) + 1)]
         self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.joinable = {t[i : i + 2] for name in self.vocab for t in [name.removesuffix(END)] for i in range(len(t) - 1)}
         # a word's last fragment bears the word end, the others do not
         inner = BPE(vocab=self.vocab, merges=[tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]])
         self.merge = (inner.tokenize, library.model.tokenize)
-        self.fragments, self.words, self.chunks = _Table(self._fragment, limit // 4), _Table(self._word, limit // 2), _Table(self._chunk, limit)
+        self.inner, self.ends, self.words, self.chunks = BoundedTable(self._inner, limit // 8), BoundedTable(self._end, limit // 8), BoundedTable(self._word, limit // 2), BoundedTable(self._chunk, limit)
         # up to U+00FF normalising is lower-casing and the classes are short; \xaa to \xff letters have two bytes
         self.latin_words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+").findall
         self.to_bytes = {c: "".join(BYTE_NAMES[x] for x in chr(c).encode()) for c in range(256) if BYTE_NAMES.get(c) != chr(c) or c > 0x7F}
@@ -86,45 +71,38 @@ class WordBpe:
         found.append(word[at:])
         return found
 
-    def _fragment(self, key: tuple[str, bool]) -> tuple[int, ...]:
-        text, last = key
-        return tuple([t.id for t in self.merge[last](text)])
+    def _inner(self, fragment: str) -> tuple[int, ...]:
+        return tuple([t.id for t in self.merge[0](fragment)])
+
+    def _end(self, fragment: str) -> tuple[int, ...]:
+        return tuple([t.id for t in self.merge[1](fragment)])
 
     def _word(self, word: str) -> tuple[int, ...]:
         if all(map(self.joinable.__contains__, map(add, word, word[1:]))):
-            return self._fragment((word, True))
+            return self._end(word)
         *parts, last = self.cuts(word)
-        ids = self.fragments[last, True]
-        for part in reversed(parts):
-            ids = self.fragments[part, False] + ids
-        return ids
-
-    def _chunk(self, chunk: str) -> tuple[bytes, str]:
-        """Ids (little-endian, 32 bits) and decoded text of a chunk without plain spaces or line feeds."""
-        ids: list[int] = []
+        return (*chain.from_iterable(map(self.inner.__getitem__, parts)), *self.ends[last])
+
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids (little-endian, 32 bits) of a chunk without plain spaces or line feeds."""
+        ids = array("I")
         for k, part in enumerate(self.at_special.split(chunk) if "<|" in chunk else (chunk,)):
             if k % 2:
                 ids.append(self.special[part])
             elif part.isascii() or max(part) <= "\xff":
                 for w in self.latin_words(part.lower()):
-                    ids += self.words[w if w.isascii() and w.isprintable() else w.translate(self.to_bytes)]
+                    ids.extend(self.words[w if w.isascii() and w.isprintable() else w.translate(self.to_bytes)])
             else:
                 for w, _ in self.pre_tokenise(self.normalise(part)):
-                    ids += self.words[w]
-        return array("I", ids).tobytes(), " ".join([self.names[i] for i in ids])
+                    ids.extend(self.words[w])
+        return ids.tobytes()
 
     def encode(self, text: str) -> bytes:
-        table = self.chunks
-        return b"".join([table[c][0] for c in text.replace("\n", " ").split(" ") if c])
-
-    def encode_decode(self, text: str) -> tuple[bytes, str]:
-        table = self.chunks
-        made = [table[c] for c in text.replace("\n", " ").split(" ") if c]
-        return b"".join([a for a, _ in made]), " ".join([b for _, b in made if b])
+        return b"".join(map(self.chunks.__getitem__, filter(None, text.replace("\n", " ").split(" "))))
 
     def decode(self, ids: bytes) -> str:
         """Token names by id, joined by a space: this tokenizer has no decoder of its own."""
-        return " ".join(self.names[int.from_bytes(ids[i : i + 4], "little")] for i in range(0, len(ids), 4))
+        return " ".join(map(self.names.__getitem__, memoryview(ids).cast("I")))
 
 
 def encode_decode(docs: DataFrame, path: str, digests: bool = False) -> DataFrame:
@@ -136,7 +114,8 @@ def encode_decode(docs: DataFrame, path: str, digests: bool = False) -> DataFram
         for b in batches:
             out, held = [], 0
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids, decoded = bpe.encode_decode(text.as_py() or "")
+                ids = bpe.encode(text.as_py() or "")
+                decoded = bpe.decode(ids)
                 if digests:
                     out.append((doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode("utf-8")).hexdigest()))
                 else:
@@ -149,7 +128,7 @@ def encode_decode(docs: DataFrame, path: str, digests: bool = False) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     last = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
-    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id long, n_tokens long, {last}")
+    return arrow_rows(docs.select("doc_id", "text"), rows, f"doc_id long, n_tokens long, {last}")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
