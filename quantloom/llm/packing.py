@@ -2,60 +2,80 @@
 
 Every partition packs its pieces by best fit, longest first; bins that are nearly full are done.
 Underfull bins become items of the next round, in which fewer partitions best-fit them again
-as wholes, until one partition has seen what is left or a round no longer saves bins. Each round is
-a written table of (item, bin, offset), and a piece's place is the sum along its chain of bins.
+as wholes, until one partition has seen what is left or a round saves no bin. Each round is a
+written table of moves (bin, bin it went to, offset) of the bins that were underfull at first; a piece's
+place is that of its first bin, moved.
+
+Tokens are those of the tokenizers library. The byte-level split is the same wherever a text is cut into
+its pre-tokens, so texts of settled scripts are split by a regular expression, and the library is
+asked once for each distinct short piece; any other text goes through the library whole.
 
 Defined results: a null or empty text is the end token alone; null and repeated doc_ids keep
-their pieces; an empty table gives an empty result; other columns are ignored. A task holds at
-most `block` items of a few numbers each, whatever the table's size.
+their pieces; strings of special tokens in a text become those tokens, as the library has it; an empty
+table gives an empty result; other columns are ignored. A task holds at most `block` items of a few
+numbers each, whatever the table's size.
 """
 
 from __future__ import annotations
 
-import base64
+import json
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import materialise, table
+from quantloom.llm.common import BoundedTable, arrow_rows, materialise, table
 
 CAPACITY = 2048
 #: Bins with at most this room left are done.
 SLACK = 8
 BLOCK = 200_000
 END_ID = 0
-#: The byte-level vocabulary's one special token; its text in a document is that token.
-SPECIAL = {"<|endoftext|>": 50256}
-
-
-def byte_encoder(path: str, pattern: str):
-    """text → uint32 ids, from a file of base64 tokens and ranks."""
-    import tiktoken
-
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
-    made = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens=SPECIAL)
+#: The split of a byte-level tokenizer.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Characters whose class is the same in every Unicode version in use: Latin to Cyrillic without unassigned
+#: places, Arabic and Devanagari letters, punctuation, kana, common Han, Hangul.
+SETTLED = r"[\x00-\u0377\u0391-\u03a1\u03a3-\u03ff\u0400-\u0527\u05d0-\u05ea\u0620-\u064a\u0660-\u0669\u0905-\u0939\u1e00-\u1eff\u2000-\u2027\u2030-\u205e\u20a0-\u20b5\u2190-\u23f3\u2500-\u26ff\u3000-\u303f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3\uff01-\uff5e]*"
+
+
+def byte_encoder(path: str, limit: int = 400_000) -> Callable[[str], np.ndarray]:
+    """text → uint32 ids, by a tokenizers-library file of a byte-level BPE; memory is bounded by `limit` pieces."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    spec = json.load(open(path, encoding="utf-8"))
+    split = spec["pre_tokenizer"]
+    if spec["normalizer"] or split["type"] != "ByteLevel" or split["add_prefix_space"] or not split["use_regex"]:
+        raise ValueError(f"{path} is not a plain byte-level tokenizer")
+    specials = [t["content"] for t in spec["added_tokens"]]
+    whole = lambda text: library.encode(text, add_special_tokens=False).ids
+    pieces, settled = regex.compile(SPLIT).findall, regex.compile(SETTLED).fullmatch
+    known = BoundedTable(lambda piece: tuple(whole(piece)), limit)
 
     def encode(text: str) -> np.ndarray:
-        if "<|endoftext|>" in text:
-            return np.array(made.encode(text, allowed_special="all"), "<u4")
-        return np.array(made.encode_ordinary(text), "<u4")
+        if not settled(text) or any(x in text for x in specials):
+            return np.array(whole(text), "<u4")
+        return np.frombuffer(array("I", chain.from_iterable(map(known.__getitem__, pieces(text)))), "<u4")
 
     return encode
 
 
-def token_pieces(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """docs (doc_id, text) → pieces of at most `capacity` tokens, the end token included. Only
     documents over capacity are cut; their first piece takes what does not fill a sequence."""
     kinds = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
     schema = pa.schema(kinds + [("ids", pa.list_(pa.int64()))] * with_ids)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = byte_encoder(path, pattern)
+        encode = byte_encoder(path)
         for b in batches:
             out, held = [], 0
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -71,7 +91,7 @@ def token_pieces(docs: DataFrame, path: str, pattern: str, capacity: int = CAPAC
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    return arrow_rows(docs.select("doc_id", "text"), rows, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
 def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
@@ -123,38 +143,44 @@ def pack_round(items: DataFrame, capacity: int, block: int) -> DataFrame:
         if n:
             yield packed(ids, sizes)
 
-    return items.select("item", "length").mapInArrow(rows, "item long, bin long, offset long, fill long")
+    return arrow_rows(items.select("item", "length"), rows, "item long, bin long, offset long, fill long")
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, slack: int = SLACK, block: int = BLOCK, max_rounds: int = 8) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, slack: int = SLACK, block: int = BLOCK) -> DataFrame:
     """pieces (…, length) → the same rows with sequence_id and offset."""
     pieces = materialise(pieces.withColumn("item", F.monotonically_increasing_id()), "pieces")
-    placed = materialise(pack_round(pieces, capacity, block), "bins-0")
-    place, rest = placed.select("item", "bin", "offset"), placed
-    for k in range(1, max_rounds):
-        rest = rest.where((F.col("offset") == 0) & (F.col("fill") < capacity - slack)).select(F.col("bin").alias("item"), F.col("fill").alias("length"))
-        n = rest.count()
-        if n < 2:
-            break
-        tasks = -(-n // block)
-        rest = materialise(pack_round(rest.repartition(tasks, F.xxhash64("item", F.lit(k))), capacity, block), f"bins-{k}")
-        step = rest.select(F.col("item").alias("__bin"), F.col("bin").alias("__to"), F.col("offset").alias("__by"))
-        place = place.join(step, F.col("bin") == F.col("__bin"), "left").select("item", F.coalesce("__to", "bin").alias("bin"), (F.col("offset") + F.coalesce("__by", F.lit(0))).alias("offset"))
-        saved = n - rest.where(F.col("offset") == 0).count()
-        if tasks == 1 or saved * 200 < n:
+    placed = materialise(pack_round(pieces, capacity, block), "bins")
+    underfull = lambda bins: bins.where((F.col("offset") == 0) & (F.col("fill") < capacity - slack)).select(F.col("bin").alias("item"), F.col("fill").alias("length"))
+    rest = underfull(placed)
+    moves = rest.select(F.col("item").alias("first"), F.col("item").alias("to"), F.lit(0).cast("long").alias("by"))
+    n, k, moved = rest.count(), 0, False
+    while n >= 2:
+        tasks, k = -(-n // block), k + 1
+        packed = materialise(pack_round(rest.repartition(tasks, F.xxhash64("item", F.lit(k))), capacity, block), "merged")
+        saved = n - packed.where("offset = 0").count()
+        if saved:
+            step = packed.select(F.col("item").alias("__item"), F.col("bin").alias("__to"), F.col("offset").alias("__by"))
+            next_moves = moves.join(step, F.col("to") == F.col("__item"), "left").select("first", F.coalesce("__to", "to").alias("to"), (F.col("by") + F.coalesce("__by", F.lit(0))).alias("by"))
+            moves, moved = materialise(next_moves, "moves"), True
+        if tasks == 1 or not saved:
             break
+        rest = underfull(packed)
+        n = rest.count()
+    place = placed.select("item", "bin", "offset")
+    if moved:
+        place = place.join(moves, F.col("bin") == F.col("first"), "left").select("item", F.coalesce("to", "bin").alias("bin"), (F.col("offset") + F.coalesce("by", F.lit(0))).alias("offset"))
     return pieces.join(place, "item").select(*[c for c in pieces.columns if c != "item"], F.col("bin").alias("sequence_id"), "offset")
 
 
-def pack_documents(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY) -> DataFrame:
-    return pack(token_pieces(docs, path, pattern, capacity), capacity)
+def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
+    return pack(token_pieces(docs, path, capacity), capacity)
 
 
-def default_tokens() -> tuple[str, str]:
+def default_tokens() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"), *default_tokens())
+    return pack_documents(table(spark, sf_dir, "documents"), default_tokens())

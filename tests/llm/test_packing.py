@@ -4,6 +4,10 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
+import regex
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from quantloom.llm import packing
@@ -35,7 +39,7 @@ def test_matches_library(spark):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     texts = {1: "Hello world, again.", 2: None, 3: "", 4: "tokens and more of them " * 2000, 5: "a<|endoftext|>b", 6: "é漢😀\n\n  x"}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").selectExpr("*", "5 as offset", "'q' as bin")
-    rows = packing.pack_documents(docs, *packing.default_tokens()).collect()
+    rows = packing.pack_documents(docs, packing.default_tokens()).collect()
     check(rows, 2048)
     for doc, text in texts.items():
         ids = np.array([*library.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
@@ -62,12 +66,52 @@ def test_large_items_never_share(spark):
 
 def test_repeats_nulls_and_empty(spark):
     docs = spark.createDataFrame([(1, "same"), (1, "same"), (None, "x"), (None, None)], "doc_id long, text string")
-    rows = packing.pack_documents(docs, *packing.default_tokens()).collect()
+    rows = packing.pack_documents(docs, packing.default_tokens()).collect()
     assert len(rows) == 4 and check(rows, 2048) == 1
-    assert packing.pack_documents(docs.limit(0), *packing.default_tokens()).collect() == []
+    assert packing.pack_documents(docs.limit(0), packing.default_tokens()).collect() == []
 
 
 def test_pieces_carry_ids(spark):
     docs = spark.createDataFrame([(1, "one two three")], "doc_id long, text string")
-    row = packing.token_pieces(docs, *packing.default_tokens(), with_ids=True).first()
+    row = packing.token_pieces(docs, packing.default_tokens(), with_ids=True).first()
     assert row.ids[-1] == 0 and len(row.ids) == row.length
+
+
+LIBRARY = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+ENCODE = packing.byte_encoder(packing.default_tokens(), limit=500)
+ODD = st.text(st.sampled_from("aAbB's'tΣσς İıßéÉ̀ñ漢字かな😀👍🏽12३٣½ \t\r\n\x0b\x1c\x85\xa0‍.,!?#<|endoftext|>\x00\x7fÅÅﬁ"), max_size=60)
+
+
+@settings(max_examples=300, deadline=None)
+@given(ODD | st.text(max_size=80))
+def test_any_text(text):
+    assert ENCODE(text).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000 + "x", "\n" * 1_000_000, "ab" * 500_000, "é" * 200_000, "漢" * 100_000], ids=["spaces", "feeds", "letters", "accents", "han"])
+def test_very_long_runs(text):
+    assert ENCODE(text).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+def test_settled_characters_have_the_classes_of_the_library():
+    """A character joins a letter, a number or a mark before it just if the split says so."""
+    settled = [chr(i) for i in range(0x10000) if not 0xD800 <= i <= 0xDFFF and regex.fullmatch(packing.SETTLED, chr(i))]
+    assert len(settled) > 30_000
+    for before in "a1!":
+        text = "".join(f" {before}{c} {before}" for c in settled)
+        assert [text[a:b] for _, (a, b) in LIBRARY.pre_tokenizer.pre_tokenize_str(text)] == regex.findall(packing.SPLIT, text)
+
+
+def test_whole_table_equals_the_library(spark):
+    import duckdb
+
+    rows = packing.op6_packing(spark, "/root/testdata/sf0.001").collect()
+    check(rows, 2048)
+    want = set()
+    for doc, text in duckdb.sql("SELECT doc_id, text FROM '/root/testdata/sf0.001/documents.parquet'").fetchall():
+        ids = np.array([*LIBRARY.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        first = len(ids) % 2048 or 2048
+        for piece, start in enumerate([0, *range(first, len(ids), 2048)]):
+            part = ids[start : first if piece == 0 else start + 2048]
+            want.add((doc, piece, start, len(part), zlib.crc32(part.tobytes())))
+    assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows} == want
