@@ -1,11 +1,11 @@
 """Corpus-wide line deduplication by range-partitioned hashes, DataFrame operations only.
 
-Lines become (128-bit key hash, doc, position) triples. The triples are range-partitioned by
-hash with document and position as secondary sort keys, so a hot line spreads over as many
-partitions as it needs, and written as sorted runs to the shared folder. First occurrences are
-streamed from the runs: a hash inside one run is settled there; the at most two hashes a run
-shares with its neighbours are settled by a pre-aggregated minimum. What comes out is a bitmap per
-document, not text.
+Lines become (128-bit key hash, doc, position) triples, range-partitioned by hash and sorted within
+a partition by hash, document and position. A hash never crosses a partition, so first occurrences are
+streamed from the sorted rows as they are, with no other exchange. Lines that are so frequent that
+one partition would be long are not shuffled at all: their first documents are a pre-aggregated
+minimum, and their rows are joined with those by broadcast. (Counts of a sample of rows tell which
+lines they are; both ways give the same result.) What comes out is a bitmap per document, not text.
 
 Defined results: a null or empty text is one empty line; a null doc_id neither drops lines nor
 makes others drop; repeated rows of one doc_id count as one document, each row by its own text;
@@ -22,6 +22,8 @@ from quantloom.llm.common import BLANKS, ascii_lower, materialise, partitions, t
 
 #: Positions in one word of a bitmap.
 WORD = 62
+#: A line with over one in HOT_LINES of the rows is kept out of the range partitions; one row in SAMPLE is counted.
+HOT_LINES, SAMPLE = 1000, 512
 
 
 def split_lines(text: Column) -> Column:
@@ -39,19 +41,22 @@ def dropped_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     )
     key = line.select("doc_id", "text_hash", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars)
     hashed = key.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc_id", "pos", "text_hash")
-    order = ["h1", "h2", "doc_id", "pos"]
     hashed = materialise(hashed, "line-hashes")  # range bounds are sampled first: texts are read and split once, not twice
-    runs = hashed.repartitionByRange(partitions(hashed), *order).sortWithinPartitions(*order)
-    runs = materialise(runs.withColumn("run", F.spark_partition_id()), "line-runs")
-
-    # at most two rows a run: its first and last hash, the only ones that can reach into another run
-    ends = runs.groupBy("run").agg(F.min(F.struct("h1", "h2")).alias("a"), F.max(F.struct("h1", "h2")).alias("z"))
-    ends = ends.select(F.explode(F.array("a", "z")).alias("e")).select("e.h1", "e.h2").distinct()
-    edge = runs.join(F.broadcast(ends), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"))
-    at_edge = runs.join(F.broadcast(edge), ["h1", "h2"])
+    hot = F.broadcast(materialise(frequent_lines(hashed), "frequent-lines"))  # under HOT_LINES
+
+    firsts = hashed.join(hot, "h1").groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"))
+    at_hot = hashed.join(F.broadcast(firsts), ["h1", "h2"])
+    runs = hashed.join(hot, "h1", "left_anti").repartitionByRange(partitions(hashed), "h1", "h2")
     stream = W.partitionBy("h1", "h2").orderBy("doc_id", "pos").rowsBetween(W.unboundedPreceding, W.currentRow)
-    inside = runs.join(F.broadcast(ends), ["h1", "h2"], "left_anti").withColumn("first_doc", F.first("doc_id").over(stream))
-    return at_edge.unionByName(inside).where(F.col("doc_id") != F.col("first_doc")).select("doc_id", "text_hash", "pos")
+    inside = runs.withColumn("first_doc", F.first("doc_id").over(stream))
+    return at_hot.unionByName(inside).where(F.col("doc_id") != F.col("first_doc")).select("doc_id", "text_hash", "pos")
+
+
+def frequent_lines(hashed: DataFrame) -> DataFrame:
+    """(h1) of lines with a share of over 1 / HOT_LINES of the sampled rows."""
+    sampled = hashed.where(F.pmod(F.xxhash64("doc_id", "pos"), F.lit(SAMPLE)) == 0)
+    least = max(4, sampled.count() // HOT_LINES + 1)
+    return sampled.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("h1")
 
 
 def drop_bitmaps(dropped: DataFrame) -> DataFrame:

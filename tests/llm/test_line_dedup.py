@@ -51,6 +51,27 @@ def test_hot_line_spans_runs(spark):
     assert sum(r[2] for r in got) == 2999 and [r[2] for r in got if r[0] == 0] == [0]
 
 
+def test_frequent_lines_take_the_other_way(spark, monkeypatch):
+    rows = [(k, f"the one line that everyone has\nbut this one is {k} only\nshared by a hundred of them {k // 100}") for k in range(3000)]
+    for sample, n in ((512, 0), (1, 31)):
+        monkeypatch.setattr(line_dedup, "SAMPLE", sample)
+        found = []
+        monkeypatch.setattr(line_dedup, "frequent_lines", lambda h, f=line_dedup.frequent_lines, found=found: found.append(f(h)) or found[0])
+        assert order(run(spark, rows)) == order(brute(rows))
+        assert found[0].count() == n if sample == 1 else found[0].count() <= 31
+        monkeypatch.undo()
+
+
+def test_one_range_exchange_of_the_hashes(spark):
+    """The firsts come from the range partitions as they are: no row is shuffled by its hash after that."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = line_dedup.dropped_lines(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("rangepartitioning(h1") == 1
+    below = plan[plan.index("Window") : plan.index("rangepartitioning(h1")]
+    assert "Sort [h1" in below and "hashpartitioning" not in below
+    assert "hashpartitioning(h1" not in plan.replace("hashpartitioning(h1", "", 1)  # the pre-aggregated minimum of frequent lines alone
+
+
 def test_odd_input(spark):
     long = "\n".join(f"line {k} of a very long text" for k in range(20_000))
     rows = [(None, "this line is shared by two"), (1, None), (2, ""), (3, "this line is shared by two"), (4, "this line is shared by two"), (4, "this line is shared by two"), (5, long), (6, long)]
