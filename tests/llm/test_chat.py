@@ -1,18 +1,29 @@
 """Snapshot collapse and rendering against brute force."""
 
+import hashlib
 import random
 
+import duckdb
+import pandas as pd
+import pytest
+
 from quantloom.llm import chat
 
 SCHEMA = "conv_id long, turn long, role string, text string"
 
 
+def place(row):
+    t, r, x = row
+    said = (f"1{len(r.encode())}:{r}" if r is not None else "0") + (f"1{x}" if x is not None else "0")
+    return t is not None, t or 0, hashlib.md5(said.encode()).hexdigest()
+
+
 def brute(rows):
     talks = {}
     for c, t, r, x in rows:
         if c is not None:
             talks.setdefault(c, []).append((t, r, x))
-    talks = {c: [(r, x) for _, r, x in sorted(v, key=lambda v: (v[0] is not None, v[0]))] for c, v in talks.items()}
+    talks = {c: [(r, x) for _, r, x in sorted(v, key=place)] for c, v in talks.items()}
     kept = {}
     for c in sorted(talks):
         if talks[c] not in kept.values() and not any(len(o) > len(talks[c]) and o[: len(talks[c])] == talks[c] for o in talks.values()):
@@ -33,27 +44,58 @@ def test_matches_brute_force(spark):
         said = [("user", rnd.choice("ab")), ("assistant", rnd.choice("ab")), ("user", rnd.choice(["a", None, ""])), (None, "z"), ("user", "q")]
         rows += [(c, start + k, r, x) for k, (r, x) in enumerate(said[: rnd.randint(1, 5)])]
     rnd.shuffle(rows)
-    got = {}
-    for r in sorted(run(spark, rows), key=lambda r: (r.conv_id, r.segment)):
-        got[r.conv_id] = got.get(r.conv_id, "") + r.text
-    assert got == brute(rows)
+    assert run_rows(spark, rows) == brute(rows)
 
 
-def test_very_long_conversation(spark):
-    long = [(1, k, "user", f"t{k}") for k in range(5000)]
-    rows = long + [(2, k, "user", f"t{k}") for k in range(3000)] + [(3, k, "user", f"t{k}") for k in range(1, 10)]
+def run_rows(spark, rows):
     got = run(spark, rows)
-    assert {r.conv_id for r in got} == {1, 3} and max(r.segment for r in got) == 4 and {r.n_turns for r in got if r.conv_id == 1} == {5000}
-    text = "".join(r.text for r in sorted(got, key=lambda r: r.segment) if r.conv_id == 1)
-    assert text == brute(long)[1]
-
-
-def test_odd_rows(spark):
-    rows = [(None, 0, "user", "x"), (1, None, "user", "first"), (1, 0, "user", "then"), (2, 0, "user", "same"), (2, 0, "user", "same"), (3, 0, "user", "same")]
-    got = {r.conv_id: r for r in run(spark, [(*r, "e") for r in rows], SCHEMA + ", block string")}
-    assert set(got) == {1, 2} and got[2].n_turns == 2
-    assert "".join(r.text for r in sorted(run(spark, rows), key=lambda r: r.segment) if r.conv_id == 1).index("first") < 40
-    assert run(spark, []) == []
+    assert len({r.conv_id for r in got}) == len(got)  # a row a conversation
+    sizes = {c: sum(r[0] == c for r in rows) for c in {r.conv_id for r in got}}
+    assert {r.conv_id: r.n_turns for r in got} == sizes
+    return {r.conv_id: r.text for r in got}
+
+
+LONG = [(1, k, "user", f"t{k}") for k in range(5000)] + [(2, k, "user", f"t{k}") for k in range(3000)] + [(3, k, "user", f"t{k}") for k in range(1, 10)]
+CASES = {
+    "block border": [(1, 1023, "user", "a"), (1, 1024, "assistant", "b")],
+    "null turn": [(1, None, "user", "first"), (1, 0, "user", "then")],
+    "very long": LONG,
+    "one turn number": [(1, 7, "user", f"t{k}") for k in range(4000)] + [(2, 7, "user", f"t{k}") for k in range(20)],
+    "all equal": [(1, None, None, "same")] * 3000 + [(2, None, None, "same")] * 2999 + [(3, 0, None, "same")] * 3000,
+    "no ids": [(None, 0, "user", "x"), (2, 0, "user", "same"), (2, 0, "user", "same"), (3, 0, "user", "same"), (4, 1, None, None), (5, 1, "", "")],
+    "tied nulls": [(1, 0, r, x) for r in (None, "", "a", "user") for x in (None, "", "b", "1")],
+    "empty": [],
+}
+
+
+@pytest.mark.parametrize("case", CASES)
+def test_cases_equal_brute_force_and_sql(spark, case):
+    rows = CASES[case]
+    want = brute(rows)
+    assert run_rows(spark, rows) == want
+    conversations = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64", "role": "string", "text": "string"})  # noqa: F841
+    assert {c: t for c, _, t in duckdb.sql(chat.SQL).fetchall()} == want
+
+
+def test_a_conversation_is_spread_over_runs(spark):
+    """Also with one turn number, no run holds it all; rows go on in order from run to run."""
+    for rows in (CASES["one turn number"], CASES["all equal"], LONG):
+        turns = spark.createDataFrame(rows, SCHEMA)
+        made = []
+        keep = chat.materialise
+        chat.materialise = lambda df, what: made.append((what, keep(df, what))) or made[-1][1]
+        try:
+            chat.prefix_hashes(turns)
+        finally:
+            chat.materialise = keep
+        runs = dict(made)["turn-runs"].where("conv_id = 1").groupBy("run").count().collect()
+        assert len(runs) > 2 and max(r["count"] for r in runs) < sum(r["count"] for r in runs) / 2
+
+
+def test_clashing_columns(spark):
+    rows = [(1, None, "user", "first", "e", 1, 2), (1, 0, "user", "then", "e", 1, 2)]
+    got = run(spark, rows, SCHEMA + ", block string, n_turns int, run int")
+    assert [(r.conv_id, r.n_turns, r.text.index("first") < r.text.index("then")) for r in got] == [(1, 2, True)]
 
 
 def test_many_copies_leave_one(spark):
