@@ -1,22 +1,22 @@
-"""SimHash near-duplicates by a forest of vantage-point trees.
+"""SimHash near-duplicates through vantage-point trees, and near copies by word-shingle similarity.
 
-Fingerprints are looked up in several trees. The upper levels of a tree compare one block of
-bits with a vantage value at radius 0: a pair within `radius` bits of each other agrees on at
-least one of radius + 1 blocks, so no linked pair is lost and no fingerprint visits two shards of
-a tree. Below, shards that are still large are split by Hamming distance to vantage points; a
-fingerprint whose distance lies within the radius of a boundary is also a visitor beyond it,
-which is what the triangle bound asks for. Leaves are compared in full.
+Fingerprints within `radius` bits are looked up in several trees. The first level of a tree parts them by some
+bits of a block (a vantage value at radius 0: a pair within `radius` bits agrees on at least one of
+radius + 1 blocks, so no linked pair is lost and none visits two shards of a tree); so many bits that a shard
+expects SHARD unrelated rows. From there vantage points split by Hamming distance, with visitors
+across the boundaries (module `vantage`); shards that are too large for one task are first split by distance
+bands as DataFrames, in the same manner.
 
-Plain vantage-point trees over all 64 bits cannot prune here: distances between unrelated
-fingerprints are 32 +- 4, so at radius 4 about 70 % of the queries visit both sides of each node.
+The first level is there because vantage points over all 64 bits prune little among unrelated
+fingerprints, whose distances are 32 +- 4: at radius 4 a third of a shard lies just beyond its median boundary.
 
-A leaf gives a spanning forest of its links, never all pairs, so output is linear in its input.
 Equal fingerprints are one node from the start.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 from math import comb
 
 import numpy as np
@@ -25,12 +25,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import UPPER, arrow_rows, materialise, partitions, table
+from quantloom.llm import vantage
+from quantloom.llm.common import UPPER, arrow_rows, join_groups, materialise, partitions, table
 from quantloom.llm.components import components
 
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
-LEAF = 2048
-SALTS = 16
+#: Rows of unrelated fingerprints that a shard expects, and rows from which a shard is split over tasks.
+SHARD, HOT = 512, 200_000
 
 
 # --- fingerprints -------------------------------------------------------------------------------
@@ -50,217 +51,115 @@ def shingle_hashes(text: str | None, words: int, distinct: bool = False) -> np.n
     return np.unique(hashes) if distinct else hashes
 
 
-def majority_bits(hashes: np.ndarray, lanes: int = 1, block: int = 1 << 16) -> np.ndarray:
-    """`lanes` 64-bit words: a bit is 1 if it is set in over half of the hashes. Further lanes remix
-    the hashes by odd multipliers."""
-    counts = np.zeros((lanes, 64), np.int64)
-    for lane in range(lanes):
-        for at in range(0, len(hashes), block):
-            h = hashes[at : at + block]
-            if lane:
-                h = h * np.uint64((0x9E3779B97F4A7C15 * (2 * lane + 1)) % 2**64 | 1)
-                h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-                h = h ^ (h >> np.uint64(32))
-            octets = h.astype(">u8").view(np.uint8).reshape(-1, 8)
-            for k in range(0, len(octets), 128):  # sums of at most 128 bits fit a byte
-                counts[lane] += np.unpackbits(octets[k : k + 128], axis=1).sum(0, dtype=np.uint8)
-    return np.packbits(counts * 2 > len(hashes), axis=1).view(">u8").astype(np.uint64).reshape(lanes)
+def majority_bits(hashes: np.ndarray, block: int = 1 << 16) -> int:
+    """A 64-bit number: a bit is 1 if it is set in over half of the hashes."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), block):
+        octets = hashes[at : at + block].astype(">u8").view(np.uint8).reshape(-1, 8)
+        for k in range(0, len(octets), 128):  # sums of at most 128 bits fit a byte
+            counts += np.unpackbits(octets[k : k + 128], axis=1).sum(0, dtype=np.uint8)
+    return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, words: int = 4, lanes: int = 1, distinct: bool = False) -> DataFrame:
-    """docs (doc_id, text) → (doc_id, fp): 8 * lanes bytes, big-endian words; all zero without words."""
+def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
+    """docs (doc_id, text) → (doc_id, fp): the fingerprint's 64 bits as a long; zero without words."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [majority_bits(shingle_hashes(t.as_py(), words, distinct), lanes).astype(">u8").tobytes() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary())], ["doc_id", "fp"])
+            fps = np.array([majority_bits(shingle_hashes(t.as_py(), words)) for t in b.column(1)], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return arrow_rows(docs.select("doc_id", "text"), rows, "doc_id long, fp binary")
+    return arrow_rows(docs.select("doc_id", "text"), rows, "doc_id long, fp long")
 
 
 # --- links within a shard -----------------------------------------------------------------------
 
 
-def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int32)
-
-
-def _grow(fps: np.ndarray, radius: int, nearest: bool) -> list[tuple[int, int]]:
-    """A spanning forest of the links in a leaf. nearest: a minimal one by distance (Prim);
-    otherwise breadth-first, where a member is compared with points not yet reached only."""
-    n, edges = len(fps), []
-    if nearest:
-        open_ = np.ones(n, bool)
-        best, parent = np.full(n, 1 << 20, np.int32), np.zeros(n, np.int64)
-        for _ in range(n):
-            k = int(np.argmin(np.where(open_, best, 1 << 21)))
-            if best[k] <= radius:
-                edges.append((int(parent[k]), k))
-            open_[k] = False
-            d = _distance(fps, fps[k])
-            closer = open_ & (d < best)
-            best[closer], parent[closer] = d[closer], k
-        return edges
-    left = np.arange(n)
-    while len(left):
-        queue, left = [int(left[0])], left[1:]
-        while queue and len(left):
-            k = queue.pop()
-            near = _distance(fps[left], fps[k]) <= radius
-            reached = left[near].tolist()
-            left = left[~near]
-            queue += reached
-            edges += [(k, x) for x in reached]
-    return edges
-
-
-def vantage_leaves(fps: np.ndarray, radius: int, leaf: int = LEAF) -> Iterator[np.ndarray]:
-    """Index sets such that every pair within the radius is together in one of them: the homes of
-    a leaf and the visitors whose ball crosses the boundaries on the way."""
-    todo = [(np.arange(len(fps)), np.zeros(0, np.int64), 0)]
-    while todo:
-        homes, guests, depth = todo.pop()
-        if len(homes) <= leaf:
-            yield np.concatenate([homes, guests])
+def keyed(batches: Iterator[pa.RecordBatch], enough: int = 200_000) -> Iterator[list[np.ndarray]]:
+    """The columns of batches sorted by the first, in parts of about `enough` rows that end with a key."""
+    held: list[list[np.ndarray]] = []
+    for b in batches:
+        if not b.num_rows:
             continue
-        vantage = fps[homes[(depth * 7919) % len(homes)]]
-        d, g = _distance(fps[homes], vantage), _distance(fps[guests], vantage)
-        middle = int(np.median(d))
-        if (d <= middle).all():
-            middle -= 1
-        inner = d <= middle
-        # where most of the outside would visit the inside, a split only copies rows
-        if not inner.any() or depth > 40 or np.count_nonzero(~inner & (d <= middle + radius)) > 0.42 * len(homes):
-            yield np.concatenate([homes, guests])
+        held.append([c.to_numpy() for c in b.columns])
+        if sum(len(x[0]) for x in held) < enough or held[0][0][0] == held[-1][0][-1]:
             continue
-        todo.append((homes[inner], np.concatenate([guests[g <= middle + radius], homes[~inner & (d <= middle + radius)]]), depth + 1))
-        todo.append((homes[~inner], guests[g > middle - radius], depth + 1))
-
-
-def shard_links(fps: np.ndarray, radius: int, nearest: bool) -> list[tuple[int, int]]:
-    """Links of a shard. Leaves are compared in full, also those that no vantage point splits."""
-    if len(fps) <= LEAF:
-        return _grow(fps, radius, nearest)
-    found = []
-    for at in vantage_leaves(fps, radius):
-        found += [(int(at[a]), int(at[b])) for a, b in _grow(fps[at], radius, nearest)]
-    return _spanning(found)
-
-
-def _spanning(edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Those edges that join what the ones before them left apart."""
-    root: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while (up := root.get(x, x)) != x:
-            root[x] = x = root.get(up, up)
-        return x
-
-    kept = []
-    for a, b in edges:
-        if (x := top(a)) != (y := top(b)):
-            root[max(x, y)] = min(x, y)
-            kept.append((a, b))
-    return kept
-
-
-def _small_links(keys: np.ndarray, fps: np.ndarray, radius: int, size: int) -> list[tuple[int, int]]:
-    """The same for many small shards at once: rows sorted by key, compared at growing shifts."""
-    found = []
-    for shift in range(1, size):
-        same = np.flatnonzero(keys[:-shift] == keys[shift:])
-        if not len(same):
-            break
-        d = _distance(fps[same], fps[same + shift])
-        hit = same[d <= radius]
-        found.append(np.stack([d[d <= radius], hit, hit + shift], 1))
-    if not found:
-        return []
-    pairs = np.concatenate(found)
-    return _spanning(pairs[np.lexsort((pairs[:, 2], pairs[:, 1], pairs[:, 0]))][:, 1:].tolist())
+        columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+        cut = int(np.searchsorted(columns[0], columns[0][-1]))  # the last key may go on in the next batch
+        yield [x[:cut] for x in columns]
+        held = [[x[cut:] for x in columns]]
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
-SMALL = 64
-
-
-def forest_links(rows: DataFrame, radius: int, lanes: int = 1, nearest: bool = False, parts: int | None = None) -> DataFrame:
-    """(key, id, fp) → (u, v) links between ids, a spanning forest for each key's shard."""
+def forest_links(rows: DataFrame, radius: int, parts: int | None = None) -> DataFrame:
+    """(key, fp) → (u, v) links between fingerprints, a spanning forest for each key's shard."""
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def settle(keys: np.ndarray, ids: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+        for keys, signed in keyed(batches):
+            fps = signed.view(np.uint64)
             starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             sizes = np.diff(np.append(starts, len(keys)))
             edges = []
-            for a, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
-                edges += [(a + x, a + y) for x, y in shard_links(fps[a : a + n], radius, nearest)]
-            small = np.flatnonzero(np.repeat((sizes <= SMALL) & (sizes > 1), sizes))
-            if len(small):
-                edges += [(small[a], small[b]) for a, b in _small_links(keys[small], fps[small], radius, SMALL)]
+            for a, n in zip(starts[sizes > vantage.LEAF].tolist(), sizes[sizes > vantage.LEAF].tolist(), strict=True):
+                edges += [(a + x, a + y) for x, y in vantage.links(fps[a : a + n], radius)]
+            small = np.flatnonzero(np.repeat((sizes <= vantage.LEAF) & (sizes > 1), sizes))
+            edges += [(small[a], small[b]) for a, b in vantage.leaf_links(keys[small], fps[small], radius)]
             at = np.array(edges, np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(ids[at[:, 0]]), pa.array(ids[at[:, 1]])], ["u", "v"])
-
-        held: list[tuple[np.ndarray, ...]] = []
-        for b in batches:
-            if not b.num_rows:
-                continue
-            raw = b.column(2)
-            fps = np.frombuffer(b"".join(raw.to_pylist()), ">u8").astype(np.uint64).reshape(-1, lanes)
-            held.append((b.column(0).to_numpy(), b.column(1).to_numpy(), fps))
-            if sum(len(x[0]) for x in held) < 200_000 or held[0][0][0] == held[-1][0][-1]:
-                continue
-            keys, ids, fps = (np.concatenate(x) for x in zip(*held, strict=True))
-            cut = int(np.searchsorted(keys, keys[-1]))  # the last key may go on in the next batch
-            yield settle(keys[:cut], ids[:cut], fps[:cut])
-            held = [(keys[cut:], ids[cut:], fps[cut:])]
-        if held:
-            yield settle(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(signed[at[:, 0]]), pa.array(signed[at[:, 1]])], ["u", "v"])
 
     parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return arrow_rows(rows.repartition(parts, "key").sortWithinPartitions("key", "id").select("key", "id", "fp"), links, "u long, v long").distinct()
+    return arrow_rows(rows.repartition(parts, "key").sortWithinPartitions("key", "fp").select("key", "fp"), links, "u long, v long").distinct()
 
 
-def split_hot(rows: DataFrame, radius: int, hot: int = 200_000, rounds: int = 2) -> DataFrame:
-    """Split shards of over `hot` rows by Hamming distance to a vantage point, the shard's smallest
+def split_hot(rows: DataFrame, radius: int, hot: int = HOT, rounds: int = 2) -> DataFrame:
+    """Split shards of (key, fp) of over `hot` rows by Hamming distance to a vantage point, the shard's smallest
     fingerprint. A band is four radii wide; rows in the last radius of a band also go to the next,
-    so any pair within the radius shares a band. 64-bit fingerprints only."""
-    number = F.conv(F.hex("fp"), 16, -10).cast("long")
+    so any pair within the radius shares a band. What is still as large is dealt out in blocks."""
     for k in range(rounds):
         big = rows.groupBy(F.col("key").alias("__key")).agg(F.count(F.lit(1)).alias("__n"), F.min("fp").alias("__v")).where(F.col("__n") > hot)
         # at most one row for each `hot` rows
         joined = rows.join(big, F.col("key") == F.col("__key"), "left")
-        d = F.bit_count(number.bitwiseXOR(F.conv(F.hex("__v"), 16, -10).cast("long")))
+        d = F.bit_count(F.col("fp").bitwiseXOR(F.col("__v")))
         band, into = F.floor(d / (4 * radius)), d % (4 * radius)
         bands = F.when(F.col("__n").isNull(), F.array(F.lit(0).cast("long"))).when(into >= 3 * radius, F.array(band, band + 1)).otherwise(F.array(band))
-        rows = joined.select("key", "id", "fp", F.explode(bands).alias("__band"), "__n").select(
-            F.when(F.col("__n").isNull(), F.col("key")).otherwise(F.xxhash64("key", "__band", F.lit(k))).alias("key"), "id", "fp"
+        rows = joined.select("key", "fp", F.explode(bands).alias("__band"), "__n").select(
+            F.when(F.col("__n").isNull(), F.col("key")).otherwise(F.xxhash64("key", "__band", F.lit(k))).alias("key"), "fp"
         )
-    return rows
+    sizes = rows.groupBy(F.col("key").alias("__key")).agg(F.ceil(F.count(F.lit(1)) / hot).alias("__blocks"))
+    return in_blocks(rows, sizes, "fp")
+
+
+def in_blocks(rows: DataFrame, blocks: DataFrame, by: str) -> DataFrame:
+    """(key, `by`) with __blocks blocks for each __key → (key, `by`): every two blocks of a shard meet in a
+    shard of their own, so any pair of its rows does. One block is the shard as it is."""
+    mine = F.pmod(F.xxhash64(F.lit(6), by), "__blocks")
+    dealt = rows.join(blocks, F.col("key") == F.col("__key")).select("key", by, mine.alias("__a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1)).alias("__b"))
+    return dealt.select(F.xxhash64("key", F.least("__a", "__b"), F.greatest("__a", "__b")).alias("key"), by)
 
 
 # --- 64-bit groups ------------------------------------------------------------------------------
 
 
-def block_keys(fp: F.Column, radius: int, blocks: int | None = None) -> F.Column:
+def block_keys(fp: F.Column, radius: int, blocks: int | None = None, bits: int = 64) -> F.Column:
     """An array of tree keys for a 64-bit fingerprint (long): one for each choice of blocks - radius
-    blocks out of `blocks`, so any pair within the radius agrees on one. More blocks make more
-    trees with smaller shards, for larger tables."""
-    from itertools import combinations
-
+    blocks out of `blocks`, so any pair within the radius agrees on one; of the chosen, the first `bits` bits
+    count. More blocks make more trees with smaller shards, for larger tables."""
     blocks = blocks or radius + 1
     edges = [64 * k // blocks for k in range(blocks + 1)]
     keys = []
     for tree, chosen in enumerate(combinations(range(blocks), blocks - radius)):
-        mask = sum(((1 << edges[k + 1]) - 1) ^ ((1 << edges[k]) - 1) for k in chosen)
+        mask = sum(1 << x for x in [x for k in chosen for x in range(edges[k], edges[k + 1])][:bits])
         keys.append(F.xxhash64(F.lit(tree), fp.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long"))))
     return F.array(*keys)
 
 
-def blocks_for(distinct_fps: int, radius: int, shard: int = 4096) -> int:
-    """Blocks such that unrelated fingerprints fill a shard with about `shard` rows at most."""
-    blocks = radius + 1
-    while blocks < 3 * radius and distinct_fps / 2 ** (64 * (blocks - radius) / blocks) > shard:
+def blocks_for(distinct_fps: int, radius: int, shard: int = SHARD) -> tuple[int, int]:
+    """Blocks and bits such that a shard expects about `shard` unrelated fingerprints."""
+    blocks, bits = radius + 1, max(1, int(np.ceil(np.log2(max(1, distinct_fps / shard)))))
+    while blocks < 3 * radius and bits > 64 * (blocks - radius) // blocks:
         blocks += 1
-    return blocks
+    return blocks, bits
 
 
 def near_groups(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
@@ -269,21 +168,20 @@ def near_groups(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
 
     Defined results: a text without words (null, empty, blank) has fingerprint zero and links like
     any other; repeated rows are kept; a null doc_id is no member of its component's minimum
-    (the component is null if nothing else is in it); an empty table gives an empty result.
+    (the component is null if nothing else is in it); an empty table gives an empty result; other columns
+    are ignored.
     """
-    fps = materialise(fingerprints(docs, words).withColumn("fp", F.conv(F.hex("fp"), 16, -10).cast("long")), "fingerprints")
+    fps = materialise(fingerprints(docs, words), "fingerprints")
     nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")), "nodes")
-    blocks = blocks_for(nodes.count(), radius)
-    keys = nodes.select(F.explode(block_keys(F.col("fp"), radius, blocks)).alias("key"), F.col("fp").alias("id"), F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("fp"))
+    blocks, bits = blocks_for(nodes.count(), radius)
+    keys = nodes.select(F.explode(block_keys(F.col("fp"), radius, blocks, bits)).alias("key"), "fp")
     linked = components(forest_links(split_hot(keys, radius), radius, parts=partitions(nodes, 2 * comb(blocks, radius))))
     grouped = nodes.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "low", "n", "component")
     lows = grouped.where(F.col("component").isNotNull()).groupBy(F.col("component").alias("__c")).agg(F.min("low").alias("__low"))
     # only fingerprints that are shared or linked are looked up; the others' component is their own document
     known = grouped.where((F.col("n") > 1) | F.col("component").isNotNull()).join(lows, F.col("component") == F.col("__c"), "left")
-    known = known.select(F.col("fp").alias("__fp"), F.coalesce("__low", "low").alias("__low"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
-    salted = fps.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    joined = salted.join(known, (F.col("fp") == F.col("__fp")) & (F.col("salt") == F.col("__salt")), "left")
-    return joined.select("doc_id", "fp", F.coalesce("__low", "doc_id").alias("component"))
+    known = materialise(known.select("fp", "n", F.coalesce("__low", "low").alias("lowest")), "groups")
+    return join_groups(fps, known, ["fp"]).select("doc_id", "fp", F.coalesce("lowest", "doc_id").alias("component"))
 
 
 # --- near-duplicates by similarity ---------------------------------------------------------------
@@ -395,19 +293,8 @@ def shard_pairs(rows: DataFrame, similarity: float, parts: int) -> DataFrame:
                 at, to = at[ok], to[ok]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(ids[to])], ["u", "v"])
 
-        held: list[tuple[np.ndarray, ...]] = []
-        for b in batches:
-            if not b.num_rows:
-                continue
-            held.append(tuple(c.to_numpy() for c in b.columns))
-            if sum(len(x[0]) for x in held) < 200_000 or held[0][0][0] == held[-1][0][-1]:
-                continue
-            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
-            cut = int(np.searchsorted(columns[0], columns[0][-1]))  # the last key may go on in the next batch
-            yield from settle(*(x[:cut] for x in columns))
-            held = [tuple(x[cut:] for x in columns)]
-        if held:
-            yield from settle(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        for columns in keyed(batches):
+            yield from settle(*columns)
 
     return arrow_rows(rows.repartition(parts, "key").sortWithinPartitions("key", "id").select("key", "id", "pos", "size"), pairs, "u long, v long").distinct()
 
@@ -424,7 +311,7 @@ def similar_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int,
             k = queue.pop()
             both = sizes[left] + sizes[k]
             near = np.flatnonzero(np.abs(sizes[left] - sizes[k]) <= may_differ(both, similarity))
-            near = near[_distance(maps[left[near]], maps[k]) <= may_differ(both[near], similarity)]
+            near = near[np.bitwise_count(maps[left[near]] ^ maps[k]).sum(-1, dtype=np.int32) <= may_differ(both[near], similarity)]
             found = []
             for at in range(0, len(near), 256):
                 some = near[at : at + 256]
@@ -446,15 +333,11 @@ def hub_rows(rows: DataFrame, hot: DataFrame) -> DataFrame:
     return rows.join(hot.select("key", "hub"), "key").select(F.col("hub").alias("key"), "id", "size").distinct()
 
 
-def in_blocks(rows: DataFrame) -> DataFrame:
-    """(key, id, size) → (key, id): every two blocks of a large shard meet in a shard of their own, so
-    any pair of its rows does."""
+def shard_blocks(rows: DataFrame) -> DataFrame:
+    """(key, id, size) → (__key, __blocks): blocks of at most so many rows and shingles; two blocks' worth is one."""
     shards = rows.groupBy(F.col("key").alias("__key")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
-    split = shards.select("__key", F.when((F.col("n") <= 2 * BLOCK_ROWS) & (F.col("shingles") <= 2 * BLOCK_SHINGLES), 1).otherwise(blocks).cast("long").alias("__blocks"))
-    mine = F.pmod(F.xxhash64(F.lit(6), "id"), "__blocks")
-    dealt = rows.join(split, F.col("key") == F.col("__key")).select("key", "id", mine.alias("__a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1)).alias("__b"))
-    return dealt.select(F.xxhash64("key", F.least("__a", "__b"), F.greatest("__a", "__b")).alias("key"), "id")
+    return shards.select("__key", F.when((F.col("n") <= 2 * BLOCK_ROWS) & (F.col("shingles") <= 2 * BLOCK_SHINGLES), 1).otherwise(blocks).cast("long").alias("__blocks"))
 
 
 def shard_forests(rows: DataFrame, similarity: float, parts: int) -> DataFrame:
@@ -523,7 +406,8 @@ def similar_links(docs: DataFrame, nodes: DataFrame, words: int, similarity: flo
     differ = [F.bit_count(word("u", k).bitwiseXOR(word("v", k))) for k in range(LANES)]
     both = F.col("u_size") + F.col("v_size")
     pairs = materialise(pairs.join(side("u"), "u").join(side("v"), "v").where(sum(differ[1:], differ[0]) <= may_differ(both, similarity)).select("u", "v"), "pairs")
-    dealt = materialise(in_blocks(materialise(hub_rows(rows, hot), "hubs")), "blocks")
+    hubs = materialise(hub_rows(rows, hot), "hubs")
+    dealt = materialise(in_blocks(hubs, shard_blocks(hubs), "id"), "blocks")
     sets = shingle_sets(docs, pairs.select(F.col("u").alias("__id")).union(pairs.select("v")).union(dealt.select("id")).distinct(), words)
     dense = shard_forests(dealt.join(sets, "id"), similarity, partitions(sets, 4))
     return exactly_similar(sets, pairs, similarity).union(dense)
@@ -536,10 +420,10 @@ def duplicate_ids(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> D
     nodes = materialise(fps.groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"), F.first("size").alias("size"), F.count(F.lit(1)).alias("n")), "nodes")
     linked = components(similar_links(docs, nodes, words, similarity)).select("node", "component").where("node <> component")
     # a document goes if it is a later copy or its node is in an earlier one's component
-    known = nodes.join(linked, F.col("id") == F.col("node"), "left").select("f1", "f2", F.coalesce("component", "id").alias("keeper"), "n", "component").where((F.col("n") > 1) | F.col("component").isNotNull())
-    known = known.select("f1", "f2", "keeper", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = fps.select("doc_id", "f1", "f2", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    return salted.join(known, ["f1", "f2", "salt"]).where(F.col("doc_id") != F.col("keeper")).select("doc_id").distinct()
+    known = nodes.join(linked, F.col("id") == F.col("node"), "left").where((F.col("n") > 1) | F.col("component").isNotNull())
+    known = materialise(known.select("f1", "f2", "n", F.coalesce("component", "id").alias("keeper")), "keepers")
+    found = join_groups(fps.select("doc_id", "f1", "f2"), known, ["f1", "f2"])
+    return found.where(F.col("doc_id") != F.col("keeper")).select("doc_id").distinct()
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

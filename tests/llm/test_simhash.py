@@ -6,8 +6,9 @@ import time
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
-from quantloom.llm import simhash
+from quantloom.llm import simhash, vantage
 from quantloom.llm.components import components
 
 
@@ -57,7 +58,7 @@ def texts(seed, n):
 
 def test_fingerprints_equal_the_definition():
     for t in [*texts(1, 40), None, "", " \t\x0b", "one", "a b c", "A\x1fB c\x85d e f", "long " * 70_000]:
-        assert int(simhash.majority_bits(simhash.shingle_hashes(t, 4))[0]) == slow_fingerprint(t)
+        assert simhash.majority_bits(simhash.shingle_hashes(t, 4)) == slow_fingerprint(t)
 
 
 def test_groups_match_brute_force(spark):
@@ -78,20 +79,64 @@ def planted(seed, n):
     return sorted(set(fps))
 
 
-def test_shard_links_keep_connectivity():
-    fps = planted(3, 6000)
-    arr = np.array(fps, np.uint64).reshape(-1, 1)
-    want = slow_components(arr)
-    for nearest in (False, True):
-        assert connected(len(fps), simhash.shard_links(arr, 4, nearest)) == want
-    small = [(a, b) for at in simhash.vantage_leaves(arr, 4, leaf=100) for a, b in [(int(at[x]), int(at[y])) for x, y in simhash._grow(arr[at], 4, False)]]
-    assert connected(len(fps), small) == want
+def test_vantage_links_keep_connectivity():
+    fps = np.array(planted(3, 6000), np.uint64)
+    want = slow_components(fps)
+    for radius, leaf in ((4, 32), (4, 100), (4, 2)):
+        assert connected(len(fps), vantage.links(fps, radius, leaf)) == want
+
+
+def test_every_pair_meets_once_in_a_leaf_and_branches_are_pruned():
+    fps = np.array(planted(5, 2000), np.uint64)
+    tally, met, compared = vantage.Tally(), set(), 0
+    homes = []
+    for members, guests in vantage.leaves(fps, 4, tally=tally):
+        homes += members.tolist()
+        compared += len(members) * (len(members) - 1) // 2 + len(members) * len(guests)
+        for i in members.tolist():
+            met |= {(min(i, j), max(i, j)) for j in [*members.tolist(), *guests.tolist()] if i != j}
+    pairs = {(i, j) for i in range(len(fps)) for j in (i + 1 + np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= 4)).tolist()}
+    assert sorted(homes) == list(range(len(fps))) and pairs <= met
+    assert tally.nodes >= 40 and tally.leaves == tally.nodes + 1
+    # unrelated fingerprints lie 32 +- 4 apart: about a quarter of the visits are pruned, and two thirds of the pairs spared
+    assert tally.pruned > tally.visits / 5 > 0 and compared < 0.4 * len(fps) ** 2 / 2
+
+
+def test_two_clusters_are_split_without_visitors():
+    rnd = np.random.default_rng(3)
+    centres = rnd.integers(0, 2**63, 2, dtype=np.uint64)
+    fps = np.unique(np.concatenate([c ^ (np.uint64(1) << np.arange(40, dtype=np.uint64)) for c in centres]))
+    tally = vantage.Tally()
+    assert connected(len(fps), vantage.links(fps, 4, tally=tally)) == slow_components(fps)
+    assert (tally.nodes, tally.leaves, tally.visits, tally.pruned) == (1, 2, 0, 40)
+
+
+def test_the_query_goes_through_vantage_points(spark, monkeypatch):
+    """On the driver's table most shards are split by a vantage point."""
+    tables = []
+    keep = simhash.forest_links
+    monkeypatch.setattr(simhash, "forest_links", lambda rows, *a, **k: tables.append(rows) or keep(rows, *a, **k))
+    groups = simhash.near_groups(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    sizes = [r["count"] for r in tables[0].groupBy("key").count().collect()]
+    assert sum(n for n in sizes if n > 2 * vantage.LEAF) > 0.9 * sum(sizes)
+    shard = tables[0].groupBy("key").agg(F.collect_list("fp").alias("fps")).orderBy(F.size("fps").desc()).first().fps
+    tally = vantage.Tally()
+    vantage.links(np.array(shard, np.int64).view(np.uint64), 4, tally=tally)
+    assert tally.nodes > 5 and tally.pruned > 0 and tally.visits > 0
+    fps = groups.select("fp").distinct().collect()
+    fps = np.array([r.fp for r in fps], np.int64).view(np.uint64)
+    low = {r.fp: r.component for r in groups.groupBy("fp").agg(F.min("component").alias("component")).collect()}
+    root = slow_components(fps)
+    want = {}
+    for f, r in zip(fps.view(np.int64).tolist(), root, strict=True):
+        want.setdefault(r, set()).add(f)
+    assert len({low[f] for f in low}) == len(want) and all(len({low[f] for f in fs}) == 1 for fs in want.values())
 
 
 def slow_components(arr):
     edges = []
     for i in range(len(arr)):
-        for j in np.flatnonzero(np.bitwise_count(arr[i + 1 :, 0] ^ arr[i, 0]) <= 4):
+        for j in np.flatnonzero(np.bitwise_count(arr[i + 1 :] ^ arr[i]) <= 4):
             edges.append((i, i + 1 + int(j)))
     return connected(len(arr), edges)
 
@@ -113,35 +158,31 @@ def connected(n, edges):
 
 def test_forest_over_blocks_loses_no_link(spark):
     fps = planted(4, 3000)
-    signed = [(x - (1 << 64) if x >> 63 else x, x.to_bytes(8, "big")) for x in fps]
-    want = slow_components(np.array(fps, np.uint64).reshape(-1, 1))
-    for blocks, hot in ((5, 200_000), (7, 200_000), (5, 50)):
-        from pyspark.sql import functions as F
-
-        nodes = spark.createDataFrame(signed, "id long, fp binary")
-        keys = nodes.select(F.explode(simhash.block_keys(F.col("id"), 4, blocks)).alias("key"), "id", "fp")
+    signed = [(x - (1 << 64) if x >> 63 else x,) for x in fps]
+    want = slow_components(np.array(fps, np.uint64))
+    for blocks, bits, hot in ((5, 64, 200_000), (5, 2, 200_000), (7, 64, 200_000), (7, 5, 200_000), (5, 4, 50)):
+        keys = spark.createDataFrame(signed, "fp long").select(F.explode(simhash.block_keys(F.col("fp"), 4, blocks, bits)).alias("key"), "fp")
         links = simhash.forest_links(simhash.split_hot(keys, 4, hot), 4).collect()
-        at = {s: k for k, (s, _) in enumerate(signed)}
+        at = {s: k for k, (s,) in enumerate(signed)}
         assert connected(len(fps), [(at[r.u], at[r.v]) for r in links]) == want
 
 
+def test_keys_follow_the_table():
+    assert simhash.blocks_for(100, 4) == (5, 1) and simhash.blocks_for(512 * 64, 4) == (5, 6)
+    for n in (10**6, 10**8, 10**10):
+        blocks, bits = simhash.blocks_for(n, 4)
+        assert n / 2**bits <= simhash.SHARD and bits <= 64 * (blocks - 4) // blocks
+
+
 def test_dense_group_stays_linear():
     rnd = random.Random(6)
     base = rnd.getrandbits(64)
-    fps = np.array(sorted({base ^ (1 << a) ^ (1 << b) for a in range(64) for b in range(64)}), np.uint64).reshape(-1, 1)
-    assert len(simhash._grow(fps, 4, False)) == len(fps) - 1
-
-
-def test_dense_shards_of_wide_fingerprints():
-    rnd = np.random.default_rng(9)
-    centres = rnd.integers(0, 2**63, (3, 4), dtype=np.uint64)
-    flips = rnd.random((6000, 4, 64)) < 0.04
-    noise = np.packbits(flips, axis=-1).view(">u8").astype(np.uint64).reshape(6000, 4)
-    fps = np.concatenate([centres[np.arange(6000) % 3] ^ noise, rnd.integers(0, 2**63, (500, 4), dtype=np.uint64)])
+    fps = np.array(sorted({base ^ (1 << a) ^ (1 << b) for a in range(64) for b in range(64)}), np.uint64)
+    assert len(vantage.links(fps, 4)) == len(fps) - 1
+    base = np.random.default_rng(9).integers(0, 2**63, 1, dtype=np.uint64)
+    many = np.unique(base ^ np.random.default_rng(8).integers(0, 2**15, 30_000, dtype=np.uint64))
     began = time.perf_counter()
-    root = connected(len(fps), simhash.shard_links(fps, 52, True))
-    assert {tuple(sorted({root[k] for k in range(c, 6000, 3)})) for c in range(3)} == {(0,), (1,), (2,)}
-    assert len(set(root[6000:])) == 500 and time.perf_counter() - began < 30
+    assert len(vantage.links(many, 4)) == len(many) - 1 and time.perf_counter() - began < 60
 
 
 def test_components(spark):
