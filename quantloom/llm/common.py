@@ -117,15 +117,16 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], hot: int =
 
 
 #: Estimated bytes of a partition that is dealt out by number, which adaptive execution cannot split.
-PARTITION_BYTES, MAX_PARTITIONS = 256 << 20, 200_000
+PARTITION_BYTES, MAX_PARTITIONS, UNKNOWN_BYTES = 256 << 20, 200_000, 1 << 60
 
 
 def partitions(table: DataFrame, times: float = 1) -> int:
     """Partitions for dealing out `times` a table read from files: the session's number, or more if
-    the files are so large. (Estimates of joins are products, so pass what was read, not what was joined.)"""
+    the files are so large. (Estimates of joins are products, so pass what was read, not what was joined.
+    A table of no known size, such as one made from Python rows, gets the session's number.)"""
     size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     session = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(session, min(MAX_PARTITIONS, int(size * times) // PARTITION_BYTES))
+    return session if size * times >= UNKNOWN_BYTES else max(session, min(MAX_PARTITIONS, int(size * times) // PARTITION_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -8,10 +8,11 @@ Two versions are compared by subtracting their tables and peeling: a cell with c
 agrees names a digest that only one version has; taken out of its other cells, it may free more.
 A table that does not peel empty is retried larger: the digests are dealt by their bits over tables
 that expect LOAD each, and a table that still fails is rebuilt with more cells, up to SIZES[-1]
-a third. Likeness is shared digests over all digests.
+a third; should that fail too, its digests are compared as sets. Likeness is shared digests over all digests.
 
 One shuffle by blocks of neighbouring ids brings each text and its next together; all else happens
-in the row, in time n * sqrt(n) for n paragraphs, so no group grows beyond a document or a block.
+in the row, in time n * sqrt(n) for n paragraphs. Blocks of more rows than ids should give them (equal or
+null ids) are range-partitioned and written as sorted runs, each a block of its own.
 
 Defined results: a null or empty text has no paragraphs, and two such texts have likeness 1; rows of
 equal doc_id are ordered by text hash; null doc_ids come after all others; the next of the last row
@@ -25,14 +26,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quantloom.llm.common import partitions, table
+from quantloom.llm.common import materialise, partitions, table
 
 #: Code points of a paragraph at most.
 PIECE = 100
 #: Cells of a third of a fingerprint, digests expected in a dealt table, cells of its thirds by size.
 BASE, LOAD, SIZES = 6, 8, (8, 16, 64, 512)
-#: Ids in one block of the neighbour search, and blocks in one group of blocks.
-NEAR, FAR = 128, 4096
+#: Ids in one block of the neighbour search, and rows from which a block is crowded.
+NEAR, CROWD = 128, 2048
 
 
 # --- tables, as SQL over arrays -------------------------------------------------------------------
@@ -90,7 +91,9 @@ def _difference(a: str, b: str, table_a: str, table_b: str) -> str:
     sizes = f"array({', '.join(map(str, SIZES))})"
     larger = f"aggregate({sizes}, named_struct('ok', false, 'plus', 0L, 'minus', 0L), (r, m) -> if(r.ok, r, {_peeled(_built('part', 'm'), 'm', 'size(part)')}))"
     entries = f"concat({_signed(a, 1)}, {_signed(b, -1)})"
-    total = f"aggregate({_dealt('entries', f'greatest(1, size(entries) / {LOAD})')}, 0L, (t, part) -> t + {_let(larger, 'q', 'q.plus + q.minus')})"
+    of = lambda sign: f"transform(filter(part, e -> e.s = {sign}L), e -> e.d)"
+    exact = _let(of(1), "ours", _let(of(-1), "theirs", "size(array_except(ours, theirs)) + size(array_except(theirs, ours))"))
+    total = f"aggregate({_dealt('entries', f'greatest(1, size(entries) / {LOAD})')}, 0L, (t, part) -> t + {_let(larger, 'q', f'if(q.ok, q.plus + q.minus, {exact})')})"
     return _let(first, "f", f"if(f.ok, f.plus + f.minus, {_let(entries, 'entries', total)})")
 
 
@@ -117,27 +120,44 @@ def likeness_sql(text: str, other: str) -> str:
 # --- neighbours -----------------------------------------------------------------------------------
 
 
+def _id_block() -> F.Column:
+    """Ascending in descending ids, nulls last."""
+    return F.bitwise_not(F.coalesce(F.floor(F.col("doc_id") / NEAR), F.lit(-(2**57))).cast("long"))
+
+
 def _next_block(blocks: DataFrame) -> DataFrame:
-    """(block) → (block, follower): the next smaller block, and for the smallest the largest. Windows
-    go over groups of FAR blocks, then over the groups, of which there is one in NEAR * FAR ids."""
-    grouped = blocks.withColumn("group", F.floor(F.col("block") / FAR))
-    inside = grouped.withColumn("follower", F.lead("block").over(W.partitionBy("group").orderBy(F.desc("block"))))
-    tops = grouped.groupBy("group").agg(F.max("block").alias("top"), F.min("block").alias("low"))
-    across = tops.select(F.col("low").alias("__low"), F.lead("top").over(W.orderBy(F.desc("group"))).alias("__top"), F.max("top").over(W.partitionBy()).alias("__first"))
-    joined = inside.join(across, F.col("block") == F.col("__low"), "left")
-    return joined.select("block", F.coalesce("follower", "__top", "__first").alias("follower"))
+    """(block), distinct → (block, follower): the next block in order, and for the last one the first. Blocks are
+    written as sorted runs; what joins the runs is a row for each of them, as many as there are partitions."""
+    runs = blocks.repartitionByRange(partitions(blocks), "block").withColumn("run", F.spark_partition_id())
+    runs = materialise(runs, "block-runs")
+    inside = runs.select("block", "run", F.lead("block").over(W.partitionBy("run").orderBy("block")).alias("follower"))
+    ends = runs.groupBy("run").agg(F.min("block").alias("head"))
+    over = W.orderBy("run")  # a row for each partition
+    across = ends.select(F.col("run").alias("__run"), F.coalesce(F.lead("head").over(over), F.first("head").over(over.rowsBetween(W.unboundedPreceding, W.currentRow))).alias("__next"))
+    return inside.join(F.broadcast(across), F.col("run") == F.col("__run")).select("block", F.coalesce("follower", "__next").alias("follower"))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """(doc_id, text, next_text): the text of the next row by descending doc_id; nulls become ''."""
     n = partitions(docs)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.floor(F.col("doc_id") / NEAR), F.lit(-(2**55))).cast("long").alias("block"))
+    counts = materialise(docs.groupBy(_id_block().alias("id_block")).agg(F.count(F.lit(1)).alias("n")), "blocks")
+    block = lambda run: F.struct(F.col("id_block").cast("long").alias("ids"), run.cast("int").alias("run"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), _id_block().alias("id_block"))
+    blocks = counts.where(F.col("n") <= CROWD).select(block(F.lit(0)).alias("block"))
+    crowded = counts.where(F.col("n") > CROWD).select("id_block")
+    if crowded.isEmpty():
+        rows = rows.select("doc_id", "text", block(F.lit(0)).alias("block"))
+    else:
+        many = rows.join(crowded, "id_block", "left_semi").withColumn("copy", F.monotonically_increasing_id())
+        many = many.repartitionByRange(n, "id_block", F.desc_nulls_last("doc_id"), F.xxhash64("text"), "copy")
+        many = materialise(many.select("doc_id", "text", block(F.spark_partition_id()).alias("block")), "crowded")
+        blocks = blocks.union(many.select("block").distinct())
+        rows = rows.join(crowded, "id_block", "left_anti").select("doc_id", "text", block(F.lit(0)).alias("block")).union(many)
     rows = rows.repartition(n, "block")
     order = W.partitionBy("block").orderBy(F.desc_nulls_last("doc_id"), F.xxhash64("text"))
     near = rows.select("block", "doc_id", "text", F.lead("text").over(order).alias("near"))
     firsts = rows.select("block", "text", F.row_number().over(order).alias("rank"), "doc_id").where("rank = 1").select(F.col("block").alias("__head"), F.col("text").alias("__text"))
-    follow = _next_block(docs.select(F.coalesce(F.floor(F.col("doc_id") / NEAR), F.lit(-(2**55))).cast("long").alias("block")).distinct())
-    heads = follow.join(firsts, F.col("follower") == F.col("__head")).select(F.col("block").alias("__block"), "__text").repartition(n, "__block")
+    heads = _next_block(blocks).join(firsts, F.col("follower") == F.col("__head")).select(F.col("block").alias("__block"), "__text").repartition(n, "__block")
     joined = near.join(heads.hint("merge"), F.col("block") == F.col("__block"), "left")
     return joined.select("doc_id", "text", F.coalesce("near", "__text").alias("next_text"))
 

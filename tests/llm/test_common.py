@@ -50,6 +50,7 @@ def test_partitions_follow_the_table(spark, tmp_path, monkeypatch):
     assert common.partitions(df) == session
     monkeypatch.setattr(common, "PARTITION_BYTES", 100)
     assert common.partitions(df) > session and common.partitions(df, 1e9) == common.MAX_PARTITIONS
+    assert common.partitions(spark.createDataFrame([(1,)], "a long").where("a > 0")) == session
 
 
 def test_workers_find_the_package_from_any_folder(tmp_path):

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import xxhash
 from pyspark.sql import functions as F
 
 from quantloom.llm import fingerprint
@@ -61,6 +62,41 @@ def test_query_matches_brute_force(spark, tmp_path):
         assert abs(r.near_edited - likeness(x, edited)) < 1e-12 and abs(r.near_next - likeness(x, y)) < 1e-12
 
 
+def neighbours(rows):
+    """(doc_id, text, next text) of each row, as a multiset."""
+    signed = lambda t: xxhash.xxh64_intdigest(t.encode(), 42) ^ 1 << 63
+    down = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), signed(r[1])))
+    return sorted(((i, t, down[(k + 1) % len(down)][1]) for k, (i, t) in enumerate(down)), key=repr)
+
+
+def test_sparse_and_crowded_ids(spark, monkeypatch):
+    rnd = random.Random(9)
+    sparse = [(rnd.randrange(-(2**63), 2**63), f"t{k}") for k in range(3000)] + [(2**63 - 1, "top"), (-(2**63), "low")]
+    crowded = [(None, f"n{k}") for k in range(900)] + [(7, f"s{k}") for k in range(900)] + [(k, f"d{k}") for k in range(300)] + [(7, "equal")] * 500 + [(None, None)] * 500
+    for rows, crowd in ((sparse, 2048), (crowded, 2048), (crowded, 100)):
+        monkeypatch.setattr(fingerprint, "CROWD", crowd)
+        got = fingerprint.with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+        assert sorted(map(tuple, got), key=repr) == neighbours(rows)
+
+
+def test_equal_and_null_ids_are_spread_over_tasks(spark, monkeypatch):
+    tables = {}
+    keep = fingerprint.materialise
+    monkeypatch.setattr(fingerprint, "materialise", lambda df, what: tables.setdefault(what, keep(df, what)))
+    rows = spark.range(100_000).selectExpr("if(id % 2 = 0, 5, null) as doc_id", "concat('t', id % 50000) as text")
+    fingerprint.with_next(rows)
+    sizes = [r["count"] for r in tables["crowded"].groupBy("block").count().collect()]
+    assert sum(sizes) == 100_000 and len(sizes) >= 8 and max(sizes) < 25_000
+
+
+def test_tables_that_never_peel_are_compared_as_sets(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "SIZES", (1,))
+    made = some_texts(40, 6)
+    pairs = list(zip(made, made[1:], strict=False))
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", F.expr(fingerprint.likeness_sql("a", "b")).alias("l")).collect()
+    assert all(abs(r.l - likeness(r.a, r.b)) < 1e-12 for r in got)
+
+
 def test_odd_tables(spark, tmp_path):
     def run(name, rows):
         spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/{name}/documents.parquet")
