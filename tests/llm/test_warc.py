@@ -1,5 +1,6 @@
 """WARC archives: round trips, revisits, and refusal of broken archives."""
 
+import base64
 import hashlib
 import struct
 
@@ -64,6 +65,48 @@ def test_broken_records_are_refused(old, new):
         warc.parse_record(raw.replace(old, new, 1) if old != b"abc\r\n\r\n" else raw[::-1].replace(old[::-1], new[::-1], 1)[::-1])
 
 
+def foreign(kind, block, more="", record_id="<urn:uuid:1f>"):
+    head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: {record_id}\r\nWARC-Date: 2020-01-01T00:00:00Z\r\n{more}Content-Length: {len(block)}\r\n\r\n"
+    return head.encode() + block + b"\r\n\r\n"
+
+
+def test_archives_of_others():
+    """Other record types and ids, no content size, a compressed dictionary, base-32 digests."""
+    body = b"<p>hello</p>"
+    b32 = base64.b32encode(hashlib.sha1(body).digest()).decode()
+    http = b"HTTP/1.1 200 OK\r\nodd line\r\nContent-Length: 12\r\n\r\n" + body
+    records = [
+        foreign("warcinfo", b"software: x\r\n", "Content-Type: application/warc-fields\r\n"),
+        foreign("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", "Content-Type: application/http;msgtype=request\r\n"),
+        foreign("response", http, f"Content-Type: application/http;msgtype=response\r\nWARC-Payload-Digest: sha1:{b32}\r\n"),
+        foreign("response", b"dns", "Content-Type: text/dns\r\n"),
+        foreign("metadata", b"a: b", "WARC-Block-Digest: md5:x\r\n"),
+        foreign("revisit", b"", f"WARC-Profile: http://netpreserve.org/warc/1.0/revisit/server-not-modified\r\nWARC-Refers-To: <urn:uuid:1f>\r\nWARC-Payload-Digest: sha1:{b32}\r\n"),
+    ]
+    content = warc.train_dictionary(records * 20, 2000)
+    packed = zstandard.ZstdCompressor().compress(content)
+    frames = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content), write_content_size=False)
+    made = []
+    for r in records:
+        one = frames.compressobj()
+        made.append(one.compress(r) + one.flush())
+    got = [warc.parse_record(x) for x in warc.read_archive(struct.pack("<II", warc.DICT_MAGIC, len(packed)) + packed + b"".join(made))]
+    assert [r["record_type"] for r in got] == ["warcinfo", "request", "response", "response", "metadata", "revisit"]
+    assert got[2]["payload"] == body and got[2]["payload_digest"] == got[5]["payload_digest"] == hashlib.sha1(body).hexdigest()
+    assert got[3]["payload"] == b"dns" and got[5]["payload"] is None and {r["record_id"] for r in got} == {"urn:uuid:1f"} and {r["page_id"] for r in got} == {None}
+    wrong = foreign("response", http, f"WARC-Payload-Digest: sha1:{base64.b32encode(b'0' * 20).decode()}\r\n")
+    with pytest.raises(warc.WarcError):
+        warc.parse_record(wrong)
+
+
+def test_hot_payloads_are_joined_by_broadcast(spark):
+    rows = [(k, "u", "x" * 1000 if k % 3 else f"{k}" * 1000) for k in range(300)] + [(None, "u", "x" * 1000), (300, "u", "7" * 1000), (301, "u", "short")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted(map(tuple, warc.with_revisits(pages).select("page_id", "refers_to").collect()), key=repr)
+    assert sorted(map(tuple, warc.with_revisits(pages, hot=50).select("page_id", "refers_to").collect()), key=repr) == want
+    assert (1, 299) in want and (None, 299) in want and (299, None) in want and (301, None) in want
+
+
 def read(spark, rows, tmp_path, extra=""):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string" + extra)
     path = f"file://{tmp_path}/warc"
