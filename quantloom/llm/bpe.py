@@ -18,6 +18,7 @@ import json
 import re
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 from operator import add
 
@@ -105,11 +106,16 @@ class WordBpe:
         return " ".join(map(self.names.__getitem__, memoryview(ids).cast("I")))
 
 
+@lru_cache(maxsize=2)  # a Python worker keeps it from task to task
+def word_bpe(path: str) -> WordBpe:
+    return WordBpe(path)
+
+
 def encode_decode(docs: DataFrame, path: str, digests: bool = False) -> DataFrame:
     """docs (doc_id, text) → ids and decoded text of the whole text, or their digests alone."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = WordBpe(path)
+        bpe = word_bpe(path)
         schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), *([("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] if digests else [("ids", pa.list_(pa.int32())), ("decoded", pa.string())])])
         for b in batches:
             out, held = [], 0
