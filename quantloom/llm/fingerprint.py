@@ -122,43 +122,45 @@ def likeness_sql(text: str, other: str) -> str:
 
 def _id_block() -> F.Column:
     """Ascending in descending ids, nulls last."""
-    return F.bitwise_not(F.coalesce(F.floor(F.col("doc_id") / NEAR), F.lit(-(2**57))).cast("long"))
+    return F.bitwise_not(F.coalesce(F.shiftright("doc_id", NEAR.bit_length() - 1), F.lit(-(2**57)))).alias("ids")
 
 
 def _next_block(blocks: DataFrame) -> DataFrame:
-    """(block), distinct → (block, follower): the next block in order, and for the last one the first. Blocks are
-    written as sorted runs; what joins the runs is a row for each of them, as many as there are partitions."""
-    runs = blocks.repartitionByRange(partitions(blocks), "block").withColumn("run", F.spark_partition_id())
-    runs = materialise(runs, "block-runs")
-    inside = runs.select("block", "run", F.lead("block").over(W.partitionBy("run").orderBy("block")).alias("follower"))
+    """Distinct blocks, by the columns that order them → the same with __<column>s of the next block, and for
+    the last one of the first. Blocks are written as sorted runs; what joins the runs is a row for each of
+    them, as many as there are partitions."""
+    keys = blocks.columns
+    runs = blocks.repartitionByRange(partitions(blocks), *keys).withColumn("run", F.spark_partition_id())
+    runs = materialise(runs.withColumn("block", F.struct(*keys)), "block-runs")
+    inside = runs.select(*keys, "run", F.lead("block").over(W.partitionBy("run").orderBy(*keys)).alias("follower"))
     ends = runs.groupBy("run").agg(F.min("block").alias("head"))
     over = W.orderBy("run")  # a row for each partition
     across = ends.select(F.col("run").alias("__run"), F.coalesce(F.lead("head").over(over), F.first("head").over(over.rowsBetween(W.unboundedPreceding, W.currentRow))).alias("__next"))
-    return inside.join(F.broadcast(across), F.col("run") == F.col("__run")).select("block", F.coalesce("follower", "__next").alias("follower"))
+    found = inside.join(F.broadcast(across), F.col("run") == F.col("__run")).select(*keys, F.coalesce("follower", "__next").alias("f"))
+    return found.select(*keys, *(F.col(f"f.{k}").alias(f"__{k}") for k in keys))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """(doc_id, text, next_text): the text of the next row by descending doc_id; nulls become ''."""
-    n = partitions(docs)
-    counts = materialise(docs.groupBy(_id_block().alias("id_block")).agg(F.count(F.lit(1)).alias("n")), "blocks")
-    block = lambda run: F.struct(F.col("id_block").cast("long").alias("ids"), run.cast("int").alias("run"))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), _id_block().alias("id_block"))
-    blocks = counts.where(F.col("n") <= CROWD).select(block(F.lit(0)).alias("block"))
-    crowded = counts.where(F.col("n") > CROWD).select("id_block")
-    if crowded.isEmpty():
-        rows = rows.select("doc_id", "text", block(F.lit(0)).alias("block"))
-    else:
-        many = rows.join(crowded, "id_block", "left_semi").withColumn("copy", F.monotonically_increasing_id())
-        many = many.repartitionByRange(n, "id_block", F.desc_nulls_last("doc_id"), F.xxhash64("text"), "copy")
-        many = materialise(many.select("doc_id", "text", block(F.spark_partition_id()).alias("block")), "crowded")
-        blocks = blocks.union(many.select("block").distinct())
-        rows = rows.join(crowded, "id_block", "left_anti").select("doc_id", "text", block(F.lit(0)).alias("block")).union(many)
-    rows = rows.repartition(n, "block")
-    order = W.partitionBy("block").orderBy(F.desc_nulls_last("doc_id"), F.xxhash64("text"))
-    near = rows.select("block", "doc_id", "text", F.lead("text").over(order).alias("near"))
-    firsts = rows.select("block", "text", F.row_number().over(order).alias("rank"), "doc_id").where("rank = 1").select(F.col("block").alias("__head"), F.col("text").alias("__text"))
-    heads = _next_block(blocks).join(firsts, F.col("follower") == F.col("__head")).select(F.col("block").alias("__block"), "__text").repartition(n, "__block")
-    joined = near.join(heads.hint("merge"), F.col("block") == F.col("__block"), "left")
+    n, keys = partitions(docs), ["ids"]
+    counts = materialise(docs.groupBy(_id_block()).agg(F.count(F.lit(1)).alias("n")), "blocks")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), _id_block())
+    blocks, crowded = counts.select("ids"), counts.where(F.col("n") > CROWD).select("ids")
+    if not crowded.isEmpty():
+        keys, one = ["ids", "part"], F.lit(0).alias("part")
+        many = rows.join(crowded, "ids", "left_semi").withColumn("copy", F.monotonically_increasing_id())
+        many = many.repartitionByRange(n, "ids", F.desc_nulls_last("doc_id"), F.xxhash64("text"), "copy")
+        many = materialise(many.select("doc_id", "text", "ids", F.spark_partition_id().alias("part")), "crowded")
+        blocks = counts.where(F.col("n") <= CROWD).select("ids", one).union(many.select("ids", "part").distinct())
+        rows = rows.join(crowded, "ids", "left_anti").select("doc_id", "text", "ids", one).union(many)
+    rows = rows.repartition(n, *keys)
+    order = W.partitionBy(*keys).orderBy(F.desc_nulls_last("doc_id"), F.xxhash64("text"))
+    near = rows.select(*keys, "doc_id", "text", F.lead("text").over(order).alias("near"))
+    firsts = rows.select(*keys, "text", F.row_number().over(order).alias("rank"), "doc_id").where("rank = 1")
+    firsts = firsts.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("text").alias("__text"))
+    heads = _next_block(blocks).join(firsts, [f"__{k}" for k in keys])
+    heads = heads.select(*(F.col(k).alias(f"__of_{k}") for k in keys), "__text").repartition(n, *(f"__of_{k}" for k in keys))
+    joined = near.join(heads.hint("merge"), [F.col(k) == F.col(f"__of_{k}") for k in keys], "left")
     return joined.select("doc_id", "text", F.coalesce("near", "__text").alias("next_text"))
 
 

@@ -85,10 +85,15 @@ def test_equal_and_null_ids_are_spread_over_tasks(spark, monkeypatch):
     monkeypatch.setattr(fingerprint, "materialise", lambda df, what: tables.setdefault(what, keep(df, what)))
     rows = spark.range(100_000).selectExpr("if(id % 2 = 0, 5, null) as doc_id", "concat('t', id % 50000) as text")
     fingerprint.with_next(rows)
-    sizes = [r["count"] for r in tables["crowded"].groupBy("block").count().collect()]
+    sizes = [r["count"] for r in tables["crowded"].groupBy("ids", "part").count().collect()]
     assert sum(sizes) == 100_000 and len(sizes) >= 8 and max(sizes) < 25_000
 
 
+def test_texts_are_shuffled_once(spark):
+    plan = fingerprint.with_next(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(ids") == 2  # the two are one when it runs: equal but for names
+
+
 def test_tables_that_never_peel_are_compared_as_sets(spark, monkeypatch):
     monkeypatch.setattr(fingerprint, "SIZES", (1,))
     made = some_texts(40, 6)
