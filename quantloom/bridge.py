@@ -109,12 +109,23 @@ def bridge(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def market(spark: SparkSession, sf_dir: str) -> tuple[Engine, list[str]]:
     """An engine over the market tables, which are made when they are first read, and its sessions."""
-    days = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("replace(substring(cast(ts as string), 1, 10), '-', '') as date").distinct()
-    sessions = sorted(r.date for r in days.collect())
+    sessions = _days(spark, sf_dir)
     tables = {t: partial(bridge, spark, sf_dir, t) for t in TABLES if t != "universe"}
     tables["universe/all"] = partial(bridge, spark, sf_dir, "universe")
     tables["daily_k"] = lambda: bridge(spark, sf_dir, "daily_k").selectExpr("*", *(f"cast(null as double) as {c}" for c in _REST))
     return Engine(TableCatalog(spark, tables, sessions)), sessions
 
 
+_KNOWN: dict[tuple[str, str], list[str]] = {}
+
+
+def _days(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The days of the events; looked up once for each application and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _KNOWN:
+        days = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("replace(substring(cast(ts as string), 1, 10), '-', '') as date").distinct()
+        _KNOWN[key] = sorted(r.date for r in days.collect())
+    return list(_KNOWN[key])
+
+
 _REST = "sec_code open high low close shares amount limit_up limit_down isSuspend isST adjfactor total_share float_share free_share list_date".split()

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quantloom import vendor
 from quantloom.bridge import CTES, market
 from quantloom.engine import Engine
 from quantloom.operators import (
@@ -177,6 +178,16 @@ _node(
     "ON t.date = q.date AND t.secu_code = q.secu_code AND t.volume >= q.low GROUP BY 1, 2",
 )
 
+for _name, _op, _duck in (("gt", ">", ">"), ("lt", "<", "<"), ("le", "<=", "<="), ("eq", "==", "="), ("eq_single", "=", "="), ("ne", "!=", "<>"), ("ne_sql", "<>", "<>")):
+    _node(f"where_threshold_{_name}", Aggregate("1m", "sum", value_col="no")(Where(Threshold("volume", op=_op, value=5))(BARS)), _COUNTED.format(w=f"volume {_duck} 5"))
+for _name, _q, _best in (("lowest", 0, "min"), ("highest", 1, "max")):
+    _node(
+        f"top_quantile_{_name}", Aggregate("1d", "sum", value_col="no")(Where(TopQuantile("volume", q=_q))(BARS)),
+        f"SELECT t.date, t.secu_code, CAST(sum(no) AS BIGINT) AS no FROM trades_tbar t JOIN (SELECT date, secu_code, {_best}(volume) AS low FROM trades_tbar GROUP BY 1, 2) q "
+        "ON t.date = q.date AND t.secu_code = q.secu_code AND t.volume >= q.low GROUP BY 1, 2",
+    )
+_node("agg_flags_mean", Aggregate("1d", "mean", value_col="is_last")(BARS), f"SELECT date, secu_code, {_r('avg(CAST(is_last AS BIGINT))', 'is_last')} FROM trades_tbar GROUP BY 1, 2")
+
 # --- joins and grids ----------------------------------------------------------------------------
 
 _VOLUME, _BUYS = metric("volume")(BARS), metric("buyamount")(BARS)
@@ -187,6 +198,18 @@ _node(
     f"SELECT date, secu_code, minute, {_r('x', 'lots')}, {_r('day', 'day')} FROM ({_A}) LEFT JOIN (SELECT date, secu_code, max(x) AS day FROM ({_A}) GROUP BY 1, 2) USING (date, secu_code)",
 )
 
+_SELLS = metric("sellamount")(BARS)
+_S = "SELECT date, secu_code, minute, sum(price * volume) AS s FROM trades_tbar WHERE side = 1 GROUP BY 1, 2, 3"
+_node(
+    "join_full_three", Join()({"buys": _BUYS, "sells": _SELLS, "lots": _VOLUME}),
+    f"SELECT date, secu_code, minute, {_r('y', 'buys')}, {_r('s', 'sells')}, {_r('x', 'lots')} FROM ({_B}) FULL JOIN ({_S}) USING (date, secu_code, minute) FULL JOIN ({_A}) USING (date, secu_code, minute)",
+)
+_node(
+    "join_shared_keys", Join(how="left", on="identity_intersection")({"lots": _VOLUME, "buys": _BUYS, "day": Aggregate("1d", "max")(_VOLUME)}),
+    f"SELECT date, secu_code, minute, {_r('x', 'lots')}, {_r('y', 'buys')}, {_r('day', 'day')} FROM ({_A}) LEFT JOIN ({_B}) USING (date, secu_code, minute) "
+    f"LEFT JOIN (SELECT date, secu_code, max(x) AS day FROM ({_A}) GROUP BY 1, 2) USING (date, secu_code)",
+)
+
 
 def _grid_sql(buckets: str, auctions: str, factor: str) -> str:
     minutes = f"SELECT DISTINCT {buckets} AS minute FROM (SELECT CASE WHEN k < 120 THEN (570 + k) // 60 * 100 + (570 + k) % 60 ELSE (660 + k) // 60 * 100 + (660 + k) % 60 END AS minute FROM range(237) r(k)) {auctions}"
@@ -415,8 +438,8 @@ _ORACLES |= {"close_last": CTES + _CLOSE_SQL, "union_outputs": CTES + _DAILY_SQL
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | vendor.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    return _ORACLES | vendor.oracle_sql()

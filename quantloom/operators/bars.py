@@ -56,6 +56,14 @@ class CancelsMinBar(_Builder):
     op = "cancels_min_bar"
 
 
+def events_of(low: Lowering, node: Node) -> DataFrame:
+    """Rows of events. Orders and deals are matched within a session, so a longer lookback has no meaning here."""
+    frame = low.frame(node)
+    if not frame.own_day:
+        raise ValueError("bars are made of the events of one session: their sources take lookback_days=1")
+    return frame.df
+
+
 def _mapped(column: str, codes: dict[int, int]) -> Column:
     return F.coalesce(*(F.when(F.col(column) == a, F.lit(b).cast("long")) for a, b in codes.items()))
 
@@ -87,7 +95,7 @@ def _placed(orders: DataFrame) -> DataFrame:
 
 @register_operator("trades_with_wait_bar")
 def _trades(node: Node, low: Lowering) -> Frame:
-    trades, orders = low.frame(node.inputs["trades"]).df, low.frame(node.inputs["orders"]).df
+    trades, orders = events_of(low, node.inputs["trades"]), events_of(low, node.inputs["orders"])
     deals = trades.where(F.col("side").isin(0, 1)).select(
         EVAL, "date", "secu_code", F.col("deal_time").alias("at"), "deal_id", (F.col("price") / 100).alias("price"), "side", F.col("volume").cast("double").alias("volume"),
         F.least("buy_id", "sell_id").alias("order_id"),
@@ -142,13 +150,13 @@ def _ranked(events: DataFrame) -> DataFrame:
 
 @register_operator("quotes_min_bar")
 def _quotes(node: Node, low: Lowering) -> Frame:
-    quotes, _ = order_events(low.frame(node.inputs["trades"]).df, low.frame(node.inputs["orders"]).df)
+    quotes, _ = order_events(events_of(low, node.inputs["trades"]), events_of(low, node.inputs["orders"]))
     return _frame(bar(_ranked(quotes), _ORDER, False), False)
 
 
 @register_operator("cancels_min_bar")
 def _cancels(node: Node, low: Lowering) -> Frame:
-    orders = low.frame(node.inputs["orders"]).df
-    _, cancels = order_events(low.frame(node.inputs["trades"]).df, orders)
+    orders = events_of(low, node.inputs["orders"])
+    _, cancels = order_events(events_of(low, node.inputs["trades"]), orders)
     stood = cancels.join(_placed(orders), [EVAL, "secu_code", "order_id"], "left").withColumn("wait", session_wait(F.col("at"), F.col("__placed")))
     return _frame(bar(_ranked(stood), _ORDER, True), True)

@@ -83,7 +83,16 @@ def nearest_quantile(column: str, q: float, over: tuple[str, ...]) -> Column:
     return F.max(F.when(rank == at, F.col(column))).over(group)
 
 
-_KINDS = {c.__name__.lower(): c for c in (Side, Flag, Threshold, TopQuantile)}
+_KINDS: dict[str, type] = {c.__name__.lower(): c for c in (Side, Flag, Threshold, TopQuantile)}
+
+
+def register_filter(condition: type) -> type:
+    """Class decorator: a dataclass of plain values with `column` and `keep(df)` becomes a condition for Where."""
+    kind = condition.__name__.lower()
+    if kind in _KINDS:
+        raise ValueError(f"a condition {kind!r} is registered already")
+    _KINDS[kind] = condition
+    return condition
 
 
 class Where(Layer):
@@ -93,7 +102,7 @@ class Where(Layer):
 
     def __init__(self, condition: Side | Flag | Threshold | TopQuantile, *, name: str | None = None) -> None:
         kind = type(condition).__name__.lower()
-        if kind not in _KINDS:
+        if _KINDS.get(kind) is not type(condition):
             raise TypeError(f"{condition!r} is not a condition")
         super().__init__(name=name, kind=kind, condition={k: list(v) if isinstance(v, tuple) else v for k, v in asdict(condition).items()})
 

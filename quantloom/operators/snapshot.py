@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quantloom.operators.bars import events_of
 from quantloom.plans.frame import EVAL, Field, Frame
 from quantloom.plans.graph import BAR, Layer, Node
 from quantloom.plans.lowering import Lowering, register_operator
@@ -75,4 +76,4 @@ def snapshot_bars(ticks: DataFrame) -> DataFrame:
 @register_operator("snapshot_min_bar")
 def _snapshot(node: Node, low: Lowering) -> Frame:
     values = [c for c in COLUMNS["snapshot_tbar"] if c not in BAR]
-    return Frame(snapshot_bars(low.frame(node.inputs["input"]).df), BAR, {c: Field() for c in (*BAR, *values)})
+    return Frame(snapshot_bars(events_of(low, node.inputs["input"])), BAR, {c: Field() for c in (*BAR, *values)})

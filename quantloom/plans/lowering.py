@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import TYPE_CHECKING
 
 from quantloom.plans.frame import Frame
@@ -54,7 +54,7 @@ class Lowering:
         with self.engine.span("eval", node=node, universe=self.universe):
             made = _OPERATORS[node.op](node, self)
         if node.id in self.persist:
-            made = Frame(self.engine.keep(made.df, node), made.keys, made.fields)
+            made = replace(made, df=self.engine.keep(made.df, node))
         self.memo[node.id] = made
         return made
 

@@ -183,7 +183,10 @@ class TableCatalog(Catalog):
         return self.tables[source]
 
     def _scan(self, source: str, dates: list[str]) -> DataFrame:
-        return self.checked(self._table(source), source, dates).where(F.col("date").isin(dates))
+        table = self._table(source)
+        if dict(table.dtypes).get("date") == "string":  # the column as it is stored, so that the filter reaches the files
+            return self.checked(table.where(F.col("date").isin([*dates, *(f"{d[:4]}-{d[4:6]}-{d[6:]}" for d in dates)])), source, dates)
+        return self.checked(table, source, dates).where(F.col("date").isin(dates))
 
     def universe(self, name: str, dates: list[str]) -> DataFrame:
         table = self._table(f"universe/{name}")

@@ -31,27 +31,42 @@ MAX_CODE = 700000
 LEVELS = range(1, 11)
 
 
-def _book(*kinds: str) -> list[str]:
-    return [f"{kind}{level}" for kind in kinds for level in LEVELS]
+def _levels(kind: str) -> list[str]:
+    """The ten levels of one kind of book column."""
+    return [f"{kind}{level}" for level in LEVELS]
 
 
-_PRICE_BARS = "secu_code minute price side volume {wait}is_first is_last no date"
-
 # The columns of each source, in order.
 COLUMNS = {
-    "steptrades": "date secu_code deal_time buy_id sell_id deal_id price volume side".split(),
-    "steporders": "date secu_code order_time order_id order_type price volume".split(),
-    "trades_tbar": _PRICE_BARS.format(wait="vw_wait_time ").split(),
-    "cancels_tbar": _PRICE_BARS.format(wait="vw_wait_time ").split(),
-    "quotes_tbar": _PRICE_BARS.format(wait="").split(),
-    "daily_k": (
-        "sec_code date open high low close shares amount limit_up limit_down preclose isSuspend isST "
-        "adjfactor total_share float_share free_share list_date secu_code"
-    ).split(),
-    "snapshot_tbar": [*_book("AskPrice", "BidPrice", "AskVolume", "BidVolume"), *(f"aVOI{k}" for k in range(1, 6)), "secu_code", "minute", "date"],
-    "orderbook": ["secu_code", "date", "tick_time", "price", *_book("AskPrice", "AskVolume", "BidPrice", "BidVolume")],
-    "universe/ex2kamt": "sec_code preclose close adjfactor secu_code date".split(),
-}
+    "steptrades": [
+        "date", "secu_code", "deal_time", "buy_id", "sell_id", "deal_id", "price", "volume", "side",
+    ],
+    "steporders": [
+        "date", "secu_code", "order_time", "order_id", "order_type", "price", "volume",
+    ],
+    "trades_tbar": [
+        "secu_code", "minute", "price", "side", "volume", "vw_wait_time", "is_first", "is_last", "no", "date",
+    ],
+    "cancels_tbar": [
+        "secu_code", "minute", "price", "side", "volume", "vw_wait_time", "is_first", "is_last", "no", "date",
+    ],
+    "quotes_tbar": [
+        "secu_code", "minute", "price", "side", "volume", "is_first", "is_last", "no", "date",
+    ],
+    "daily_k": [
+        "sec_code", "date", "open", "high", "low", "close", "shares", "amount", "limit_up", "limit_down", "preclose",
+        "isSuspend", "isST", "adjfactor", "total_share", "float_share", "free_share", "list_date", "secu_code",
+    ],
+    "snapshot_tbar": [
+        *_levels("AskPrice"), *_levels("BidPrice"), *_levels("AskVolume"), *_levels("BidVolume"),
+        "aVOI1", "aVOI2", "aVOI3", "aVOI4", "aVOI5", "secu_code", "minute", "date",
+    ],
+    "orderbook": [
+        "secu_code", "date", "tick_time", "price",
+        *_levels("AskPrice"), *_levels("AskVolume"), *_levels("BidPrice"), *_levels("BidVolume"),
+    ],
+    "universe/ex2kamt": ["sec_code", "preclose", "close", "adjfactor", "secu_code", "date"],
+}
 
 _BAR_KEYS = ("date", "secu_code", "minute", "price", "side")
 KEYS = {

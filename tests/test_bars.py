@@ -96,3 +96,11 @@ def test_snapshot(spark):
     assert got[2, 930].AskPrice1 is None and got[2, 932].AskPrice1 == 5.0 == got[2, 932].BidPrice1
     late = run(spark, SnapshotMinBar()(Source("orderbook")), orderbook=spark.createDataFrame([tick(3, 92500000, 700, 0, 0), tick(3, 93100000, 0, 0, 0)], schema))
     assert late[0].AskPrice1 == 700.0  # the pre-open price, in hundredths as it comes
+
+
+def test_events_of_several_sessions_are_refused(spark):
+    trades = spark.createDataFrame([("20200102", 1, 93000000, 1, 2, 1, 1000, 1.0, 0)], TRADES)
+    engine = Engine(TableCatalog(spark, {"steptrades": trades, "steporders": spark.createDataFrame([], ORDERS)}, ["20200101", "20200102"]))
+    node = TradesWithWaitBar()(Source("steptrades", lookback_days=2), Source("steporders"))
+    with pytest.raises(ValueError, match="lookback_days=1"):
+        engine.frame(Model("m", None, {"value": node}), node, ["20200102"])

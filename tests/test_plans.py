@@ -47,7 +47,10 @@ def test_order_and_names():
 
 def test_mermaid():
     text = Model("m", "u", {"value": Join()({"a": metric("volume")(SRC), "b": Col("price").alias("p")(SRC)})}).explain_mermaid()
-    assert text.startswith("flowchart TD") and '-->|"a"|' in text and "frame: join" in text and "trades_tbar" in text
+    assert text.startswith("flowchart TD") and '-- "a" --> step' in text and "<br>join" in text and "trades_tbar" in text and '(["m"])' in text
+    assert text.count("[\"<b>") == len(Model("m", "u", {"value": Join()({"a": metric("volume")(SRC), "b": Col("price").alias("p")(SRC)})}).nodes())
+    quoted = Model("m", "u", {"value": Project(name='say "x" | <y>')(SRC)}).explain_mermaid()
+    assert "say #34;x#34; #124; #60;y#62;" in quoted
 
 
 def test_minutes():
@@ -71,3 +74,29 @@ def test_join_rules():
 def test_bad_layers(bad):
     with pytest.raises((ValueError, TypeError)):
         bad()
+
+
+def test_conditions_can_be_registered(spark):
+    from dataclasses import dataclass
+
+    from quantloom import Where
+    from quantloom.operators.filters import register_filter
+
+    @register_filter
+    @dataclass(frozen=True)
+    class Even:
+        column: str
+
+        def keep(self, df):
+            return df.where(f"{self.column} % 2 = 0")
+
+    assert Where(Even("no"))(SRC).params["kind"] == "even"
+    with pytest.raises(ValueError, match="registered"):
+        register_filter(Even)
+
+    @dataclass(frozen=True)
+    class Odd:
+        column: str
+
+    with pytest.raises(TypeError):
+        Where(Odd("no"))

@@ -32,3 +32,17 @@ def test_query(spark, duck, name):
 def test_scan_prunes_and_pushes(spark):
     plan = catalog.queries()["where_side"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema" in plan and "props" not in plan
+
+
+def test_a_stored_date_column_is_filtered_in_the_files(spark, tmp_path):
+    from quantloom import Engine, Model, Source, TableCatalog
+
+    days = ["20240102", "20240103"]
+    rows = [(1, d if k else f"{d[:4]}-{d[4:6]}-{d[6:]}", 925, 1.0, 0) for k, d in enumerate(days)]
+    spark.createDataFrame(rows, "secu_code long, date string, minute long, price double, side long").selectExpr(
+        "*", "1D as volume", "0D as vw_wait_time", "true as is_first", "true as is_last", "1L as no"
+    ).write.parquet(f"{tmp_path}/t")
+    engine, node = Engine(TableCatalog(spark, {"trades_tbar": spark.read.parquet(f"{tmp_path}/t")}, days)), Source("trades_tbar")
+    df = engine.frame(Model("m", None, {"value": node}), node, days[:1]).df
+    assert [r.date for r in df.collect()] == days[:1]
+    assert "PushedFilters: [In(date, [" in df._jdf.queryExecution().executedPlan().toString()
