@@ -7,7 +7,7 @@ written table of moves (bin, bin it went to, offset) of the bins that were under
 place is that of its first bin, moved.
 
 Tokens are those of the tokenizers library. The byte-level split is the same wherever a text is cut into
-its pre-tokens, so texts of settled scripts are split by a regular expression, and the library is
+its pre-tokens, so texts of settled scripts are split by a regular expression, and the library's model is
 asked once for each distinct short piece; any other text goes through the library whole.
 
 Defined results: a null or empty text is the end token alone; null and repeated doc_ids keep
@@ -19,9 +19,11 @@ numbers each, whatever the table's size.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -30,6 +32,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quantloom.llm.bpe import BYTE_NAMES
 from quantloom.llm.common import BoundedTable, arrow_rows, materialise, table
 
 CAPACITY = 2048
@@ -39,12 +42,15 @@ BLOCK = 200_000
 END_ID = 0
 #: The split of a byte-level tokenizer.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The same for a text of ASCII alone.
+ASCII_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"""
 #: Characters whose class is the same in every Unicode version in use: Latin to Cyrillic without unassigned
 #: places, Arabic and Devanagari letters, punctuation, kana, common Han, Hangul.
 SETTLED = r"[\x00-\u0377\u0391-\u03a1\u03a3-\u03ff\u0400-\u0527\u05d0-\u05ea\u0620-\u064a\u0660-\u0669\u0905-\u0939\u1e00-\u1eff\u2000-\u2027\u2030-\u205e\u20a0-\u20b5\u2190-\u23f3\u2500-\u26ff\u3000-\u303f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3\uff01-\uff5e]*"
 
 
-def byte_encoder(path: str, limit: int = 400_000) -> Callable[[str], np.ndarray]:
+@lru_cache(maxsize=2)  # a Python worker keeps it from task to task
+def byte_encoder(path: str, limit: int = 300_000) -> Callable[[str], np.ndarray]:
     """text → uint32 ids, by a tokenizers-library file of a byte-level BPE; memory is bounded by `limit` pieces."""
     from tokenizers import Tokenizer
 
@@ -55,15 +61,20 @@ def byte_encoder(path: str, limit: int = 400_000) -> Callable[[str], np.ndarray]
     split = spec["pre_tokenizer"]
     if spec["normalizer"] or split["type"] != "ByteLevel" or split["add_prefix_space"] or not split["use_regex"]:
         raise ValueError(f"{path} is not a plain byte-level tokenizer")
-    specials = [t["content"] for t in spec["added_tokens"]]
-    whole = lambda text: library.encode(text, add_special_tokens=False).ids
-    pieces, settled = regex.compile(SPLIT).findall, regex.compile(SETTLED).fullmatch
-    known = BoundedTable(lambda piece: tuple(whole(piece)), limit)
+    specials, merge = [t["content"] for t in spec["added_tokens"]], library.model.tokenize
+    pieces, ascii_pieces, settled = regex.compile(SPLIT).findall, re.compile(ASCII_SPLIT, re.ASCII).findall, regex.compile(SETTLED).fullmatch
+
+    def piece_ids(piece: str) -> tuple[int, ...]:
+        plain = piece.isascii() and piece.isprintable()
+        return tuple([t.id for t in merge(piece.replace(" ", BYTE_NAMES[32]) if plain else "".join([BYTE_NAMES[b] for b in piece.encode()]))])
+
+    known = BoundedTable(piece_ids, limit)
 
     def encode(text: str) -> np.ndarray:
-        if not settled(text) or any(x in text for x in specials):
-            return np.array(whole(text), "<u4")
-        return np.frombuffer(array("I", chain.from_iterable(map(known.__getitem__, pieces(text)))), "<u4")
+        plain = text.isascii()
+        if not (plain or settled(text)) or any(x in text for x in specials):
+            return np.array(library.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.frombuffer(array("I", chain.from_iterable(map(known.__getitem__, (ascii_pieces if plain else pieces)(text)))), "<u4")
 
     return encode
 

@@ -1,5 +1,6 @@
 """Packing: every piece once, gapless sequences, few of them."""
 
+import re
 import zlib
 
 import numpy as np
@@ -100,6 +101,8 @@ def test_settled_characters_have_the_classes_of_the_library():
     for before in "a1!":
         text = "".join(f" {before}{c} {before}" for c in settled)
         assert [text[a:b] for _, (a, b) in LIBRARY.pre_tokenizer.pre_tokenize_str(text)] == regex.findall(packing.SPLIT, text)
+        text = "".join(f" {before}{chr(c)} {before}{chr(c)}{chr(c)}  " for c in range(128))
+        assert re.findall(packing.ASCII_SPLIT, text, re.ASCII) == regex.findall(packing.SPLIT, text)
 
 
 def test_whole_table_equals_the_library(spark):
