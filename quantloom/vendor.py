@@ -52,7 +52,7 @@ def files(spark: SparkSession, sf_dir: str) -> tuple[Engine, list[str]]:
             named = F.concat(F.lpad(F.col("secu_code").cast("string"), 6, "0"), F.lit(".SZ")).alias("sec_code")
             spelled = F.lit(f"{d[:4]}-{d[4:6]}-{d[6:]}").alias("trading_day")
             rest = [F.lit(0.5 + j).alias(c) for j, c in enumerate("open high low close shares amount limit_up limit_down adjfactor total_share float_share free_share".split())]
-            daily = bridge(spark, sf_dir, "daily_k").where(F.col("date") == d).select(named, spelled, "preclose", *rest, F.lit(False).alias("isSuspend"), F.lit(False).alias("isST"), F.lit("19990101").alias("list_date"))
+            daily = bridge(spark, sf_dir, "daily_k").where(F.col("date") == d).select(named, spelled, F.col("preclose").cast("double").alias("preclose"), *rest, F.lit(False).alias("isSuspend"), F.lit(False).alias("isST"), F.lit("19990101").alias("list_date"))
             daily.write.parquet(f"{root}/data/daily_k/{d}.parquet")
         trades = bridge(spark, sf_dir, "steptrades").drop("date")
         code = F.when(F.col("deal_id") % 5 == 0, 22).when(F.col("deal_id") % 5 == 1, 600849).when(F.col("deal_id") % 5 == 2, 800001).when(F.col("deal_id") % 5 == 3, None).otherwise(F.col("secu_code"))
