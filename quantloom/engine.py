@@ -78,11 +78,11 @@ class Engine:
                 low = lowerings.setdefault(m.universe, Lowering(self, m.universe, days, persist))
                 stocks = self.catalog.universe(m.universe, list(days))
                 for name, node in m.output.items():
-                    frame = low.frame(node)
+                    frame = low.own(node)
                     if not frame.collectable:
                         logger.error("output %s of %s is not daily", name, m.name)
                         raise ValueError(f"output {name!r} of {m.name!r} must be daily with one public value; its keys are {frame.keys}, its values {frame.values}")
-                    parts.append(self._factor(frame, m.factor_name(name), stocks, len(parts)))
+                    parts.append(self._factor(frame, m.factor_name(name), stocks, days, len(parts)))
             made = reduce(DataFrame.unionByName, parts)
             if ordered:
                 made = made.orderBy("date", "__output", "secu_code")
@@ -90,8 +90,9 @@ class Engine:
         return made.drop("__output")
 
     @staticmethod
-    def _factor(frame: Frame, name: str, stocks: DataFrame, number: int) -> DataFrame:
-        value = frame.df.where(F.col("date") == F.col(EVAL)).select(*DAY, F.col(frame.value()).cast("double").alias("value"))
+    def _factor(frame: Frame, name: str, stocks: DataFrame, days: tuple[str, ...], number: int) -> DataFrame:
+        rows = frame.df.where(F.col("date").isin(*days) if frame.own_day else F.col("date") == F.col(EVAL))
+        value = rows.select(*DAY, F.col(frame.value()).cast("double").alias("value"))
         return stocks.join(value, list(DAY), "left").select(*DAY, F.lit(name).alias("factor_name"), "value", F.lit(number).alias("__output"))
 
     def evaluate(self, model: Model, node: Node, date: str) -> DataFrame:

@@ -160,6 +160,6 @@ def aggregated(
 def _aggregate(node: Node, low: Lowering) -> Frame:
     p = node.params
     return aggregated(
-        low.frame(node.inputs["input"]), p["frequency"].strip().lower(), p.get("auction", "keep"), agg=p["agg"], minutes=low.engine.catalog.minutes,
+        low.own(node.inputs["input"]), p["frequency"].strip().lower(), p.get("auction", "keep"), agg=p["agg"], minutes=low.engine.catalog.minutes,
         apply_to=p.get("apply_to", "field"), value_col=p.get("value_col"), alias=p.get("alias"),
     )

@@ -150,12 +150,12 @@ def _with_column(node: Node, frame: Frame) -> Frame:
 
 @register_operator("column")
 def _column(node: Node, low: Lowering) -> Frame:
-    return _with_column(node, low.frame(node.inputs["input"]))
+    return _with_column(node, low.own(node.inputs["input"]))
 
 
 @register_operator("rename")
 def _rename(node: Node, low: Lowering) -> Frame:
-    frame, alias = low.frame(node.inputs["input"]), node.params["alias"]
+    frame, alias = low.own(node.inputs["input"]), node.params["alias"]
     old = frame.value("rename")
     return Frame(frame.df.withColumnRenamed(old, alias), frame.keys, {alias if c == old else c: f for c, f in frame.fields.items()}, frame.own_day)
 
@@ -163,7 +163,7 @@ def _rename(node: Node, low: Lowering) -> Frame:
 @register_operator("op")
 def _op(node: Node, low: Lowering) -> Frame:
     if node.params["mode"] == "row":
-        return _with_column(node, low.frame(node.inputs["input"]))
+        return _with_column(node, low.own(node.inputs["input"]))
     return _between(node, low)
 
 
@@ -181,6 +181,8 @@ def _between(node: Node, low: Lowering) -> Frame:
     )
     fields = {k: frame.fields[k] for k in frame.keys} | {alias: out} | {c: frame.fields[c] for c in (*components, *hidden)}
     if name in ROLLING:
+        if frame.keys == DAY or node.params.get("cross_day"):  # windows across sessions
+            frame = low.seen(frame)
         made = rolling(frame.df, frame.keys, name, *operands, alias=alias, window=node.params["window"], cross_day=node.params.get("cross_day", False))
     else:
         made = frame.df.withColumn(alias, arithmetic(name, operands))
@@ -189,11 +191,11 @@ def _between(node: Node, low: Lowering) -> Frame:
 
 def _joined(node: Node, low: Lowering) -> tuple[Frame, list[str], list[str]]:
     alias, keys, df = node.params["alias"], None, None
-    own_day = all(low.frame(child).own_day for child in node.inputs.values())
+    frames = low.owns(node.inputs.values())
+    own_day = frames[0].own_day
     fields: dict[str, Field] = {}
     components, hidden = [], []
-    for k, (role, child) in enumerate(node.inputs.items()):
-        frame = low.frame(child)
+    for k, (role, frame) in enumerate(zip(node.inputs, frames, strict=True)):
         if keys is None:
             keys = frame.keys
             fields |= {c: frame.fields[c] for c in keys}
@@ -220,7 +222,7 @@ def _fused(node: Node, low: Lowering) -> tuple[Frame, list[str], list[str]] | No
     if None in chains or len({(root.id, step) for root, _, _, step in chains}) != 1:
         return None
     root, step = chains[0][0], chains[0][3]
-    rows, components, aggs = low.frame(root), [], {}
+    rows, components, aggs = low.own(root), [], {}
     df, fields = rows.df, {k: rows.fields[k] for k in rows.keys}
     for k, (_, between, agg, _) in enumerate(chains):
         part = rows

@@ -58,8 +58,8 @@ class CancelsMinBar(_Builder):
 
 def events_of(low: Lowering, node: Node) -> DataFrame:
     """Rows of events. Orders and deals are matched within a session, so a longer lookback has no meaning here."""
-    frame = low.frame(node)
-    if not frame.own_day:
+    frame = low.own(node)
+    if frame.own_day != 1:
         raise ValueError("bars are made of the events of one session: their sources take lookback_days=1")
     return frame.df
 
@@ -85,7 +85,7 @@ def bar(events: DataFrame, order: list[str | Column], waits: bool) -> DataFrame:
 
 def _frame(df: DataFrame, waits: bool) -> Frame:
     values = ["volume", *(["vw_wait_time"] if waits else []), "is_first", "is_last", "no"]
-    return Frame(df, KEYS, {c: Field() for c in (*KEYS, *values)})
+    return Frame(df, KEYS, {c: Field() for c in (*KEYS, *values)}, 1)
 
 
 def _placed(orders: DataFrame) -> DataFrame:

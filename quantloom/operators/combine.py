@@ -55,17 +55,18 @@ def output_names(role: str, frame: Frame) -> dict[str, str]:
 
 
 def joined(parts: dict[str, Frame], how: str, on: list[str] | str | None) -> Frame:
-    """Fold the inputs from the left. Rows are not sorted: order is for the end of a plan."""
+    """Fold the inputs from the left; their own_day is the same. Rows are not sorted: order is for the end of a plan."""
     daily = [f.keys == DAY for f in parts.values()]
     if how == "full" and any(daily) and not all(daily):
         raise ValueError("a full join cannot mix daily and finer inputs; choose an anchor with how='left'")
     keys, df, fields = None, None, {}
     first = next(iter(parts.values()))
+    day = [] if first.own_day else [EVAL]
     for role, frame in parts.items():
         names = output_names(role, frame)
         if clash := [n for n in names.values() if n in fields]:
             raise ValueError(f"join output columns clash: {clash}")
-        right = frame.df.select(EVAL, *frame.keys, *(F.col(a).alias(b) for a, b in names.items()))
+        right = frame.df.select(*day, *frame.keys, *(F.col(a).alias(b) for a, b in names.items()))
         if df is None:
             df, keys = right, frame.keys
         else:
@@ -75,21 +76,24 @@ def joined(parts: dict[str, Frame], how: str, on: list[str] | str | None) -> Fra
             step = join_keys(keys, frame.keys, chosen, how)
             if clash := [c for c in right.columns if c in df.columns and c not in (EVAL, *step)]:
                 raise ValueError(f"a {how} join would have columns twice: {clash}")
-            df, keys = df.join(right, [EVAL, *step], how), union_keys(keys, frame.keys)
+            df, keys = df.join(right, [*day, *step], how), union_keys(keys, frame.keys)
         if clash := [n for n in names.values() if n in keys]:
             raise ValueError(f"join output columns clash with keys: {clash}")
         fields |= {k: frame.fields[k].plain() for k in frame.keys if k not in fields}
         fields |= {b: replace(frame.fields[a], components=tuple(names.get(c, c) for c in frame.fields[a].components)) for a, b in names.items()}
-    return Frame(df, keys, {k: fields[k] for k in keys} | {c: f for c, f in fields.items() if c not in keys})
+    if first.own_day:
+        df = df.withColumn(EVAL, F.col("date"))
+    return Frame(df, keys, {k: fields[k] for k in keys} | {c: f for c, f in fields.items() if c not in keys}, first.own_day)
 
 
 @register_operator("join")
 def _join(node: Node, low: Lowering) -> Frame:
-    return joined({k: low.frame(v) for k, v in node.inputs.items()}, node.params.get("how", "full"), node.params.get("on"))
+    frames = dict(zip(node.inputs, low.owns(node.inputs.values()), strict=True))
+    return joined(frames, node.params.get("how", "full"), node.params.get("on"))
 
 
 @register_operator("project")
 def _project(node: Node, low: Lowering) -> Frame:
-    frame = low.frame(node.inputs["input"])
+    frame = low.own(node.inputs["input"])
     fields = {c: replace(frame.fields[c], components=(), recompute=False) for c in (*frame.keys, *frame.values)}
     return Frame(frame.df, frame.keys, fields, frame.own_day)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quantloom.operators.aggregate import Aggregate
 from quantloom.operators.arithmetic import Col
 from quantloom.operators.filters import Flag, Where
-from quantloom.operators.source import Source, seen
+from quantloom.operators.source import Source
 from quantloom.plans.frame import EVAL, Field, Frame
 from quantloom.plans.graph import BAR, DAY, Layer, Node
 from quantloom.plans.lowering import Lowering, register_operator
@@ -43,19 +43,20 @@ def close_node(source: str, lookback: int, path: tuple[tuple[str, str], ...]) ->
 
 
 def close_state(field: Field, low: Lowering, also: DataFrame | None = None) -> DataFrame:
-    """(BAR, __state, __preclose) at the bars of the closes, and of `also`: the day's last close so far."""
+    """(BAR, __state, __preclose) at the bars of the closes, and of `also`: the day's last close so far. All are
+    states of one session, so each row's own day will do for EVAL, in `also` too."""
     if field.source is None:
         raise ValueError("FillNull('state') needs a field from a single source")
-    close = low.frame(close_node(field.source, field.lookback, field.path)).df
+    close = low.own(close_node(field.source, field.lookback, field.path)).df
     if also is not None:
-        close = close.select(EVAL, *BAR).union(also.select(EVAL, *BAR)).distinct().join(close, [EVAL, *BAR], "left")
+        close = close.select(*BAR).union(also.select(*BAR)).distinct().join(close.drop(EVAL), list(BAR), "left")
     dates = sorted({d for days in low.windows(field.lookback).values() for d in days})
     daily = low.engine.catalog.scan("daily_k", dates)
     if lost := [c for c in (*DAY, "preclose") if c not in daily.columns]:
         raise ValueError(f"daily_k lacks {lost}")
-    daily = seen(daily.select(*DAY, F.col("preclose").alias("__preclose")), low, field.lookback)
-    so_far = W.partitionBy(EVAL, *DAY).orderBy("minute").rowsBetween(W.unboundedPreceding, W.currentRow)
-    joined = close.join(daily, [EVAL, *DAY], "left")
+    daily = daily.select(*DAY, F.col("preclose").alias("__preclose"))
+    so_far = W.partitionBy(*DAY).orderBy("minute").rowsBetween(W.unboundedPreceding, W.currentRow)
+    joined = close.join(daily, list(DAY), "left").withColumn(EVAL, F.col("date"))
     return joined.withColumn("__state", F.coalesce(F.last("close", ignorenulls=True).over(so_far), "__preclose"))
 
 
@@ -72,20 +73,20 @@ def _fill_null(node: Node, low: Lowering) -> Frame:
             raise ValueError("preclose can only be filled by 'state'")
         alias = parent.params["alias"]
         field = replace(low.frame(parent.inputs["input"]).origin(), path=(("1m", "keep"),))
-        before = W.partitionBy(EVAL, *DAY).orderBy("minute")
+        before = W.partitionBy(*DAY).orderBy("minute")
         df = close_state(field, low).withColumn(alias, F.coalesce(F.lag("__state").over(before), "__preclose"))
-        return Frame(df, BAR, {k: field for k in BAR} | {alias: replace(field, operator="fill_null")})
-    frame = low.frame(parent)
+        return Frame(df, BAR, {k: field for k in BAR} | {alias: replace(field, operator="fill_null")}, field.lookback)
+    frame = low.own(parent)
     if mode == "state":
         needs_minute(frame.columns, "FillNull('state')")
     name = frame.value("FillNull")
     field = replace(frame.fields[name], operator="fill_null", components=(), recompute=False)
     if mode == "ffill":
-        over = W.partitionBy(EVAL, *DAY).orderBy(*frame.keys).rowsBetween(W.unboundedPreceding, W.currentRow)
+        over = W.partitionBy(*([] if frame.own_day else [EVAL]), *DAY).orderBy(*frame.keys).rowsBetween(W.unboundedPreceding, W.currentRow)
         df = frame.df.withColumn(name, F.last(name, ignorenulls=True).over(over))
     elif mode == "state":
-        state = close_state(frame.fields[name], low, frame.df).select(EVAL, *BAR, "__state")
-        df = frame.df.join(state, [EVAL, *BAR], "left").withColumn(name, F.coalesce(name, "__state"))
+        state = close_state(frame.fields[name], low, frame.df).select(*BAR, "__state")
+        df = frame.df.join(state, list(BAR), "left").withColumn(name, F.coalesce(name, "__state"))
     else:
         df = frame.df.withColumn(name, F.coalesce(F.col(name), F.lit(mode)))
-    return Frame(df, frame.keys, frame.fields | {name: field})
+    return Frame(df, frame.keys, frame.fields | {name: field}, frame.own_day)

@@ -109,8 +109,9 @@ class Where(Layer):
 
 @register_operator("where")
 def _where(node: Node, low: Lowering) -> Frame:
-    frame = low.frame(node.inputs["input"])
     condition = _KINDS[node.params["kind"]](**node.params["condition"])
+    by_day = isinstance(condition, (Side, Flag, Threshold)) or (isinstance(condition, TopQuantile) and "date" in condition.over)
+    frame = (low.own if by_day else low.frame)(node.inputs["input"])  # a filter of the user's may look across days
     named = ["side"] if isinstance(condition, Side) else [condition.column, *getattr(condition, "over", ())]
     if lost := [c for c in named if c not in frame.columns]:
         raise ValueError(f"the filter's columns {lost} are not in {list(frame.columns)}")

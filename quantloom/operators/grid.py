@@ -39,7 +39,7 @@ def inferred_policy(frame: Frame) -> tuple[str, str]:
 def _grid(node: Node, low: Lowering) -> Frame:
     if low.universe is None:
         raise ValueError("a grid needs the model's universe")
-    frame = low.frame(node.inputs["input"])
+    frame = low.own(node.inputs["input"])
     frequency, auction = inferred_policy(frame) if None in (node.params.get("frequency"), node.params.get("auction")) else ("", "")
     frequency, auction = node.params.get("frequency", frequency), node.params.get("auction", auction)
     calendar, interval = low.engine.catalog.minutes, minutes_of(frequency)
@@ -62,5 +62,8 @@ def _grid(node: Node, low: Lowering) -> Frame:
     stocks = low.engine.catalog.universe(low.universe, list(low.dates)).withColumnRenamed("date", EVAL)
     minutes = low.spark.createDataFrame([(b,) for b in bars], "minute long")
     cells = stocks.join(F.broadcast(days), EVAL).join(F.broadcast(minutes))
-    made = cells.join(frame.df, [EVAL, *on], "left")
+    if frame.own_day == lookback:  # a cell finds its day's row, whichever evaluation date it is of
+        made = cells.join(frame.df.drop(EVAL), list(on), "left")
+    else:
+        made = cells.join(low.seen(frame).df, [EVAL, *on], "left")
     return Frame(made, keys, {k: frame.fields.get(k, Field()) for k in keys} | {c: frame.fields[c] for c in values})

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.plans.frame import EVAL, Field, Frame
@@ -19,16 +18,6 @@ def Source(source: str, *, lookback_days: int = 1, name: str | None = None) -> N
     return Node("source", {"source": source} | ({"lookback_days": lookback_days} if lookback_days > 1 else {}), name=name)
 
 
-def seen(df: DataFrame, low: Lowering, lookback: int) -> DataFrame:
-    """df (with date) once for each evaluation date that sees the row. The pairs are a few thousand
-    at most, the product of two numbers of days, so they are broadcast."""
-    if lookback == 1:
-        return df.withColumn(EVAL, F.col("date"))
-    pairs = [(d, e) for e, days in low.windows(lookback).items() for d in days]
-    table = low.spark.createDataFrame(pairs, f"date string, {EVAL} string")
-    return df.join(F.broadcast(table), "date")
-
-
 @register_operator("source")
 def _source(node: Node, low: Lowering) -> Frame:
     name, lookback = node.params["source"], node.params.get("lookback_days", 1)
@@ -36,4 +25,5 @@ def _source(node: Node, low: Lowering) -> Frame:
     catalog = low.engine.catalog
     keys = catalog.identity_keys(name)
     field = Field(source=name, lookback=lookback)
-    return Frame(seen(catalog.scan(name, dates), low, lookback), keys, {c: field for c in catalog.schema(name, dates)}, lookback == 1)
+    rows = catalog.scan(name, dates).withColumn(EVAL, F.col("date"))
+    return Frame(rows, keys, {c: field for c in catalog.schema(name, dates)}, lookback)

@@ -1,8 +1,9 @@
 """What an operator lowers to: a DataFrame plus what its columns mean.
 
 Every DataFrame carries EVAL, the evaluation date that a row belongs to, so that one Spark plan serves all
-dates at once: with a lookback a source row is there once for each evaluation date that sees it,
-and each grouping, window and join has EVAL among its keys.
+dates at once. With a lookback an evaluation date sees rows of several sessions; operators that stay within
+a session work on rows that are there once (own_day), and only then is each row copied to the evaluation dates
+that see it. From there on each grouping, window and join has EVAL among its keys.
 """
 
 from __future__ import annotations
@@ -34,13 +35,14 @@ class Field:
 
 @dataclass(frozen=True)
 class Frame:
-    """A DataFrame with its identity keys and a Field for each column, in column order. own_day says
-    that each row's evaluation date is its date, so groupings need not carry both."""
+    """A DataFrame with its identity keys and a Field for each column, in column order. With own_day = n
+    each row is there once, EVAL repeats its date, and the copies for a lookback of n are still due (none for 1);
+    with 0 they have been made."""
 
     df: DataFrame
     keys: tuple[str, ...]
     fields: dict[str, Field]
-    own_day: bool = False
+    own_day: int = 0
 
     def __post_init__(self) -> None:
         if self.df.columns != [EVAL, *self.fields]:

@@ -226,6 +226,35 @@ def test_rolling(spark, tmp_path, engine):
         Op("rolling_beta", high, 3, window=2)
 
 
+def test_lookback_copies_rows_after_aggregating(engine):
+    days = [DATE, "20170104"]
+    source = Source("trades_tbar", lookback_days=2)
+    daily = Aggregate("1d", "sum", value_col="volume")(source)
+    ratio = Project()(Op("div", daily, Aggregate("1d", "max", value_col="no")(source), alias="z"))
+    made = frame(engine, ratio, days[1:])
+    plan = made.df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = lambda word: [k for k, line in enumerate(plan) if word in line]
+    assert made.own_day == 0 and at("Join") and at("Aggregate") and max(at("Join")) < min(at("Aggregate"))
+    each = {r.date: r.volume for d in days for r in frame(engine, Aggregate("1d", "sum", value_col="volume")(Source("trades_tbar")), [d]).df.collect()}
+    both = frame(engine, daily, days[1:]).df.collect()
+    assert {r.date: r.volume for r in both} == each and {r["__eval"] for r in both} == {"20170104"}
+
+
+def test_lookbacks_that_differ_meet_by_evaluation_date(engine):
+    long, short = (Aggregate("1d", "sum", value_col="volume")(Source("trades_tbar", lookback_days=k)) for k in (2, 1))
+    rows = frame(engine, Join()({"a": long, "b": short}), ["20170104"]).df.collect()
+    assert {r.date: r.b is None for r in rows} == {DATE: True, "20170104": False}
+    assert [r.date for r in frame(engine, Project()(Op("add", long, short, alias="z")), ["20170104"]).df.collect()] == ["20170104"]
+
+
+def test_a_filter_over_the_whole_lookback_sees_all_its_days(engine):
+    top = Where(TopQuantile("volume", 1.0, over=("secu_code",)))
+    seen = frame(engine, Source("trades_tbar", lookback_days=2), ["20170104"]).df.collect()
+    best = max(r.volume for r in seen if r.volume is not None)
+    kept = frame(engine, top(Source("trades_tbar", lookback_days=2)), ["20170104"]).df.collect()
+    assert {r.volume for r in kept} == {best} and len(kept) == sum(r.volume == best for r in seen)
+
+
 def test_lookback_needs_history(engine):
     with pytest.raises(ValueError, match="history"):
         frame(engine, Source("trades_tbar", lookback_days=2), [DATE])
