@@ -7,12 +7,14 @@ whose second part is kept from going negative, so that the fit cannot treat the
 hidden in U as negatives. pi is the share of toxic rows among the labels of the training fold. A
 slope and an offset fitted on that fold's labels turn margins into probabilities.
 
-The training sample is bounded: MAX_POSITIVE and MAX_UNLABELLED documents, chosen by a hash of the id.
-Every document is scored on its whole text. lang, source, labels and doc_id are never inputs.
+Features are chosen by how often they are in P and in U, which is counted over every different text of the
+training fold. The gradient steps are on a bounded sample: MAX_POSITIVE and MAX_UNLABELLED documents, chosen by
+a hash of the id. Every document is scored on its whole text. lang, source, labels and doc_id are never inputs.
 
 Defined results: null and empty texts have no features and get the score of the offset; without any
 toxic label all scores are 0; null doc_ids count as not held out and are scored; repeated rows
-are scored each; repeated labels count as toxic if any says so; other columns are ignored.
+are scored each; of the rows of a repeated doc_id the sample has that with the least text, so the id bounds
+what is collected; repeated labels count as toxic if any says so; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import arrow_rows, held_out, table
+from quantloom.llm.common import BoundedTable, arrow_rows, held_out, table
 
 MAX_POSITIVE, MAX_UNLABELLED = 2000, 5000
 THRESHOLD = 0.3
@@ -112,29 +114,30 @@ def calibrate(margin: np.ndarray, label: np.ndarray, steps: int = 200) -> tuple[
     return (float(a), float(b)) if np.isfinite([a, b]).all() and a > 0 else (1.0, 0.0)
 
 
+def matcher(index: dict) -> Callable[[str | None], list]:
+    """text → what `index` has for the text's features; a word's features that may be in it are remembered."""
+    levels = range(1, CAP + 1)
+    known = BoundedTable(lambda word: tuple(h for h in word_features(word) if any(level(h, k) in index for k in levels)), 200_000)
+
+    def find(text: str | None) -> list:
+        counts: dict[int, int] = {}
+        for word, n in Counter(_words((text or "").lower())).items():
+            for h in known[word]:
+                counts[h] = counts.get(h, 0) + n
+        there = (level(h, k) for h, n in counts.items() for k in range(1, min(n, CAP) + 1))
+        return [index[f] for f in there if f in index]
+
+    return find
+
+
 @dataclass
 class ToxicModel:
     weights: dict[int, float]
     offset: float
 
-    def scorer(self):
-        """text → score; what each word adds is remembered in a bounded table."""
-        weights, known = self.weights, {}
-
-        def score(text: str | None) -> float:
-            counts: dict[int, int] = {}
-            for word, n in Counter(_words((text or "").lower())).items():
-                hits = known.get(word)
-                if hits is None:
-                    if len(known) >= 400_000:
-                        known.clear()
-                    hits = known[word] = tuple(h for h in word_features(word) if any(level(h, k) in weights for k in range(1, CAP + 1)))
-                for h in hits:
-                    counts[h] = counts.get(h, 0) + n
-            z = self.offset + sum(weights.get(level(h, k), 0.0) for h, n in counts.items() for k in range(1, min(n, CAP) + 1))
-            return float(_sigmoid(np.float64(z)))
-
-        return score
+    def scorer(self) -> Callable[[str | None], float]:
+        find = matcher(self.weights)
+        return lambda text: float(_sigmoid(np.float64(self.offset + sum(find(text)))))
 
 
 def _sample_features(docs: DataFrame, ids: DataFrame) -> list:
@@ -146,8 +149,8 @@ def _sample_features(docs: DataFrame, ids: DataFrame) -> list:
             hashes = [np.unique(np.array(f, "<u4")).tobytes() for f in made]
             yield pa.RecordBatch.from_arrays([b.column("role"), b.column("toxic"), pa.array(hashes, pa.binary())], ["role", "toxic", "hashes"])
 
-    picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("role", "toxic", "text")
-    return arrow_rows(picked, rows, "role int, toxic int, hashes binary").collect()
+    picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "role", "toxic").agg(F.min("text").alias("text"))
+    return arrow_rows(picked.select("role", "toxic", "text"), rows, "role int, toxic int, hashes binary").collect()
 
 
 def training_labels(labels: DataFrame, column: str) -> DataFrame:
@@ -156,16 +159,34 @@ def training_labels(labels: DataFrame, column: str) -> DataFrame:
     return known.groupBy("doc_id").agg(F.max(column).cast("int").alias("label"))
 
 
-def choose(role: np.ndarray, hashes: list[np.ndarray]) -> np.ndarray:
-    """Features that tell P from U: z scores of the shares' difference, with enough support in P. Only
-    what P supports is counted in U."""
-    n_p, n_u = (role == 1).sum(), (role == 0).sum()
-    names, in_p = np.unique(np.concatenate([h for h, r in zip(hashes, role, strict=True) if r == 1]), return_counts=True)
-    enough = in_p >= max(MIN_DOCS, MIN_SHARE * n_p)
-    names, in_p, in_u = names[enough], in_p[enough], np.zeros(int(enough.sum()), np.int64)
-    for h, r in zip(hashes, role, strict=True):
-        if r == 0:
-            in_u += np.isin(names, h, assume_unique=True)
+def feature_counts(docs: DataFrame, names: np.ndarray) -> tuple[int, np.ndarray]:
+    """How many different texts the training fold has, and how many of them have each feature of `names`. All
+    its rows are read; only sums by feature, as many as names, come to the driver."""
+    sent = docs.sparkSession.sparkContext.broadcast(names)  # features that MIN_SHARE of at most MAX_POSITIVE documents have
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = matcher({int(h): k for k, h in enumerate(sent.value)})
+        for b in batches:
+            hits = [[-1, *find(t.as_py())] for t in b.column("text")]  # -1: the text itself
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(hits, pa.list_(pa.int32()))], ["key", "hits"])
+
+    fold = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    found = arrow_rows(fold.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "text"), rows, "key long, hits array<int>")
+    once = found.groupBy("key").agg(F.first("hits").alias("hits"))
+    counted = once.select(F.explode("hits").alias("feature")).groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()
+    total = {r.feature: r.n for r in counted}
+    return total.get(-1, 0), np.array([total.get(k, 0) for k in range(len(names))], np.int64)
+
+
+def supported(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Features with enough support in P, sorted, and in how many of its documents each is."""
+    names, in_p = np.unique(np.concatenate(hashes), return_counts=True)
+    enough = in_p >= max(MIN_DOCS, MIN_SHARE * len(hashes))
+    return names[enough], in_p[enough]
+
+
+def choose(names: np.ndarray, in_p: np.ndarray, n_p: int, in_u: np.ndarray, n_u: int) -> np.ndarray:
+    """Features that tell P from U, by z scores of the shares' difference."""
     both = (in_p + in_u + 1) / (n_p + n_u + 2)
     z = (in_p / n_p - in_u / n_u) / np.sqrt(both * (1 - both) * (1 / n_p + 1 / n_u))
     best = np.argsort(-z, kind="stable")[:MAX_FEATURES]
@@ -188,7 +209,9 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
         return ToxicModel({}, -35.0)
     toxic = np.array([-1 if texts[k] is None else texts[k] for k in sorted(texts)])
     hashes = [np.frombuffer(h, "<u4") for _, h in sorted(texts)]
-    names = choose(role, hashes)
+    candidates, in_p = supported([h for h, r in zip(hashes, role, strict=True) if r == 1])
+    n_u, in_u = feature_counts(docs, candidates)
+    names = choose(candidates, in_p, int((role == 1).sum()), in_u, n_u)
     # of a document only the chosen features are held, so memory is that of one document's features
     found = [np.flatnonzero(np.isin(names, h, assume_unique=True)) for h in hashes]
     parts = []
