@@ -12,7 +12,7 @@ the id from the training fold; a document costs some dozens of numbers. Every do
 Defined results: null and empty texts are scored from the features of an empty text; null lang or
 source is a value of its own; without both classes among the labels every score is the labels'
 mean (1 without labels); null doc_ids are scored and not held out; repeated rows are scored
-each; of the rows of a repeated doc_id the least is trained on; of repeated labels the largest counts;
+each; of the rows of a repeated doc_id one, with the least bytes of features, is trained on; of repeated labels the largest counts;
 other columns are ignored.
 """
 
@@ -166,9 +166,9 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
             packed = [np.concatenate(x).astype("<f4").tobytes() for x in zip(text, meta, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(packed, pa.binary())], ["doc_id", "label", "x"])
 
-    picked = docs.select("doc_id", "text", "lang", "source").join(F.broadcast(ids), "doc_id")  # ids are bounded, and rows by them
-    picked = picked.groupBy("doc_id", "label").agg(F.min(F.struct("text", "lang", "source")).alias("row")).select("doc_id", "label", "row.*")
-    got = sorted(arrow_rows(picked, rows, "doc_id long, label int, x binary").collect(), key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, bytes(r.x)))
+    picked = docs.select("doc_id", "text", "lang", "source").join(F.broadcast(ids), "doc_id")  # ids are bounded
+    once = arrow_rows(picked, rows, "doc_id long, label int, x binary").groupBy("doc_id", "label").agg(F.min("x").alias("x"))
+    got = sorted(once.collect(), key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, bytes(r.x)))
     y = np.array([-1 if r.label is None else r.label for r in got])
     base = float(y[y >= 0].mean()) if (y >= 0).any() else 1.0
     if not 0 < base < 1:
