@@ -13,8 +13,7 @@ a hash of the id. Every document is scored on its whole text. lang, source, labe
 
 Defined results: null and empty texts have no features and get the score of the offset; without any
 toxic label all scores are 0; null doc_ids count as not held out and are scored; repeated rows
-are scored each; of the rows of a repeated doc_id the sample has that with the least text, so the id bounds
-what is collected; repeated labels count as toxic if any says so; other columns are ignored.
+are scored each; of the rows of a repeated doc_id the sample has one, that with the least bytes of features; repeated labels count as toxic if any says so; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +23,7 @@ import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -116,16 +116,20 @@ def calibrate(margin: np.ndarray, label: np.ndarray, steps: int = 200) -> tuple[
 
 def matcher(index: dict) -> Callable[[str | None], list]:
     """text → what `index` has for the text's features; a word's features that may be in it are remembered."""
-    levels = range(1, CAP + 1)
-    known = BoundedTable(lambda word: tuple(h for h in word_features(word) if any(level(h, k) in index for k in levels)), 200_000)
+    values: dict[int, list[list]] = {}  # what a feature has for being there never, once, up to CAP times
+
+    def features(word: str) -> tuple[int, ...]:
+        found = tuple(h for h in word_features(word) if any(level(h, k) in index for k in range(1, CAP + 1)))
+        for h in found:
+            if h not in values:
+                values[h] = [[index[level(h, j)] for j in range(1, k + 1) if level(h, j) in index] for k in range(CAP + 1)]
+        return found
+
+    known = BoundedTable(features, 200_000)
 
     def find(text: str | None) -> list:
-        counts: dict[int, int] = {}
-        for word, n in Counter(_words((text or "").lower())).items():
-            for h in known[word]:
-                counts[h] = counts.get(h, 0) + n
-        there = (level(h, k) for h, n in counts.items() for k in range(1, min(n, CAP) + 1))
-        return [index[f] for f in there if f in index]
+        counts = Counter(chain.from_iterable(map(known.__getitem__, _words((text or "").lower()))))
+        return list(chain.from_iterable(values[h][n if n < CAP else CAP] for h, n in counts.items()))
 
     return find
 
@@ -147,10 +151,11 @@ def _sample_features(docs: DataFrame, ids: DataFrame) -> list:
         for b in batches:
             made = [document_features(t.as_py()) for t in b.column("text")]
             hashes = [np.unique(np.array(f, "<u4")).tobytes() for f in made]
-            yield pa.RecordBatch.from_arrays([b.column("role"), b.column("toxic"), pa.array(hashes, pa.binary())], ["role", "toxic", "hashes"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "role", "toxic")), pa.array(hashes, pa.binary())], ["doc_id", "role", "toxic", "hashes"])
 
-    picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "role", "toxic").agg(F.min("text").alias("text"))
-    return arrow_rows(picked.select("role", "toxic", "text"), rows, "role int, toxic int, hashes binary").collect()
+    picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    found = arrow_rows(picked, rows, "doc_id long, role int, toxic int, hashes binary")
+    return found.groupBy("doc_id", "role", "toxic").agg(F.min("hashes").alias("hashes")).collect()
 
 
 def training_labels(labels: DataFrame, column: str) -> DataFrame:
