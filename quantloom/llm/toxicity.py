@@ -116,16 +116,17 @@ def calibrate(margin: np.ndarray, label: np.ndarray, steps: int = 200) -> tuple[
 
 def matcher(index: dict) -> Callable[[str | None], list]:
     """text → what `index` has for the text's features; a word's features that may be in it are remembered."""
+    roots = {(f - 0x9E3779B1 * k) & 0xFFFFFFFF for f in index for k in range(CAP)}  # features with a level in the index
     values: dict[int, list[list]] = {}  # what a feature has for being there never, once, up to CAP times
 
     def features(word: str) -> tuple[int, ...]:
-        found = tuple(h for h in word_features(word) if any(level(h, k) in index for k in range(1, CAP + 1)))
+        found = tuple(h for h in word_features(word) if h in roots)
         for h in found:
             if h not in values:
                 values[h] = [[index[level(h, j)] for j in range(1, k + 1) if level(h, j) in index] for k in range(CAP + 1)]
         return found
 
-    known = BoundedTable(features, 200_000)
+    known = BoundedTable(features, 50_000)
 
     def find(text: str | None) -> list:
         counts = Counter(chain.from_iterable(map(known.__getitem__, _words((text or "").lower()))))
