@@ -116,11 +116,11 @@ def calibrate(margin: np.ndarray, label: np.ndarray, steps: int = 200) -> tuple[
 
 def matcher(index: dict) -> Callable[[str | None], list]:
     """text → what `index` has for the text's features; a word's features that may be in it are remembered."""
-    roots = {(f - 0x9E3779B1 * k) & 0xFFFFFFFF for f in index for k in range(CAP)}  # features with a level in the index
+    roots = {f: f for f in ((f - 0x9E3779B1 * k) & 0xFFFFFFFF for f in index for k in range(CAP))}  # features with a level in the index, an object each
     values: dict[int, list[list]] = {}  # what a feature has for being there never, once, up to CAP times
 
     def features(word: str) -> tuple[int, ...]:
-        found = tuple(h for h in word_features(word) if h in roots)
+        found = tuple(roots[h] for h in word_features(word) if h in roots)
         for h in found:
             if h not in values:
                 values[h] = [[index[level(h, j)] for j in range(1, k + 1) if level(h, j) in index] for k in range(CAP + 1)]
@@ -150,8 +150,7 @@ def _sample_features(docs: DataFrame, ids: DataFrame) -> list:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [document_features(t.as_py()) for t in b.column("text")]
-            hashes = [np.unique(np.array(f, "<u4")).tobytes() for f in made]
+            hashes = [np.unique(np.array(document_features(t.as_py()), "<u4")).tobytes() for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "role", "toxic")), pa.array(hashes, pa.binary())], ["doc_id", "role", "toxic", "hashes"])
 
     picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
@@ -173,8 +172,10 @@ def feature_counts(docs: DataFrame, names: np.ndarray) -> tuple[int, np.ndarray]
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = matcher({int(h): k for k, h in enumerate(sent.value)})
         for b in batches:
-            hits = [[-1, *find(t.as_py())] for t in b.column("text")]  # -1: the text itself
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(hits, pa.list_(pa.int32()))], ["key", "hits"])
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                hits = [[-1, *find(t.as_py())] for t in part.column("text")]  # -1: the text itself
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(hits, pa.list_(pa.int32()))], ["key", "hits"])
 
     fold = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     found = arrow_rows(fold.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "text"), rows, "key long, hits array<int>")
