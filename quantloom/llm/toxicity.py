@@ -12,7 +12,7 @@ training fold. The gradient steps are on a bounded sample: MAX_POSITIVE and MAX_
 a hash of the id. Every document is scored on its whole text. lang, source, labels and doc_id are never inputs.
 
 Defined results: null and empty texts have no features and get the score of the offset; without any
-toxic label all scores are 0; null doc_ids count as not held out and are scored; repeated rows
+toxic label all scores are below 1e-15; null doc_ids count as not held out and are scored; repeated rows
 are scored each; of the rows of a repeated doc_id the sample has one, that with the least bytes of features; repeated labels count as toxic if any says so; other columns are ignored.
 """
 
@@ -23,7 +23,6 @@ import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,12 +39,15 @@ HEADS, CAP = (4, 5, 6, 7), 3
 #: Features need this share of P (and this many documents of it) and this many standard errors.
 MIN_SHARE, MIN_DOCS, MIN_Z, MAX_FEATURES = 0.01, 4, 4.0, 1500
 _words = re.compile(r"\w+").findall
+_WORD = zlib.crc32(b"=")  # a whole word is hashed with this sign before it
 
 
 def word_features(word: str) -> list[int]:
     """Hashes of a word and of its beginnings."""
-    raw = [f"={word}"] + [word[:k] for k in HEADS if len(word) >= k]
-    return [zlib.crc32(x.encode("utf-8")) for x in raw]
+    raw = word.encode("utf-8")
+    cut = raw if len(raw) == len(word) else word  # of ASCII words bytes can be cut
+    heads = [cut[:k] for k in HEADS if len(word) >= k]
+    return [zlib.crc32(raw, _WORD), *map(zlib.crc32, heads if cut is raw else [x.encode("utf-8") for x in heads])]
 
 
 def level(feature: int, count: int) -> int:
@@ -114,23 +116,24 @@ def calibrate(margin: np.ndarray, label: np.ndarray, steps: int = 200) -> tuple[
     return (float(a), float(b)) if np.isfinite([a, b]).all() and a > 0 else (1.0, 0.0)
 
 
-def matcher(index: dict) -> Callable[[str | None], list]:
-    """text → what `index` has for the text's features; a word's features that may be in it are remembered."""
-    roots = {f: f for f in ((f - 0x9E3779B1 * k) & 0xFFFFFFFF for f in index for k in range(CAP))}  # features with a level in the index, an object each
-    values: dict[int, list[list]] = {}  # what a feature has for being there never, once, up to CAP times
-
-    def features(word: str) -> tuple[int, ...]:
-        found = tuple(roots[h] for h in word_features(word) if h in roots)
-        for h in found:
-            if h not in values:
-                values[h] = [[index[level(h, j)] for j in range(1, k + 1) if level(h, j) in index] for k in range(CAP + 1)]
-        return found
-
-    known = BoundedTable(features, 50_000)
-
-    def find(text: str | None) -> list:
-        counts = Counter(chain.from_iterable(map(known.__getitem__, _words((text or "").lower()))))
-        return list(chain.from_iterable(values[h][n if n < CAP else CAP] for h, n in counts.items()))
+def matcher(features: np.ndarray) -> Callable[[str | None], np.ndarray]:
+    """text → positions in the sorted `features` of those that the text has. Words are remembered with their places
+    among the features' first levels, as bytes, so a text's are joined and counted without a loop over them."""
+    step = lambda k: np.uint32(0x9E3779B1 * k & 0xFFFFFFFF)
+    features = features.astype(np.uint32)
+    roots = np.unique(np.concatenate([features - step(k) for k in range(CAP)]))
+    place = {int(h): np.int32(k).tobytes() for k, h in enumerate(roots)}
+    levels = np.full((len(roots), CAP), -1, np.int32)  # the position of being there k + 1 times, -1 for none
+    for k in range(CAP if len(features) else 0):
+        at = np.minimum(np.searchsorted(features, roots + step(k)), len(features) - 1)
+        levels[:, k] = np.where(features[at] == roots + step(k), at, -1)
+    known = BoundedTable(lambda word: b"".join([place[h] for h in word_features(word) if h in place]), 50_000)
+
+    def find(text: str | None) -> np.ndarray:
+        places = np.frombuffer(b"".join(map(known.__getitem__, _words((text or "").lower()))), np.int32)
+        there, counts = np.unique(places, return_counts=True)
+        found = levels[there]
+        return np.sort(found[(found >= 0) & (np.arange(CAP) < counts[:, None])])
 
     return find
 
@@ -141,8 +144,9 @@ class ToxicModel:
     offset: float
 
     def scorer(self) -> Callable[[str | None], float]:
-        find = matcher(self.weights)
-        return lambda text: float(_sigmoid(np.float64(self.offset + sum(find(text)))))
+        names = sorted(self.weights)
+        find, weights = matcher(np.array(names, np.uint32)), np.array([self.weights[h] for h in names], np.float64)
+        return lambda text: float(_sigmoid(self.offset + weights[find(text)].sum()))
 
 
 def _sample_features(docs: DataFrame, ids: DataFrame) -> list:
@@ -170,12 +174,13 @@ def feature_counts(docs: DataFrame, names: np.ndarray) -> tuple[int, np.ndarray]
     sent = docs.sparkSession.sparkContext.broadcast(names)  # features that MIN_SHARE of at most MAX_POSITIVE documents have
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = matcher({int(h): k for k, h in enumerate(sent.value)})
+        find = matcher(sent.value)
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                hits = [[-1, *find(t.as_py())] for t in part.column("text")]  # -1: the text itself
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(hits, pa.list_(pa.int32()))], ["key", "hits"])
+                hits = [np.append(np.int32(-1), find(t.as_py())) for t in part.column("text")]  # -1: the text itself
+                ends = np.cumsum([0, *map(len, hits)], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.ListArray.from_arrays(ends, np.concatenate(hits))], ["key", "hits"])
 
     fold = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     found = arrow_rows(fold.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "text"), rows, "key long, hits array<int>")
