@@ -21,10 +21,10 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -42,15 +42,33 @@ BLOCK = 200_000
 END_ID = 0
 #: The split of a byte-level tokenizer.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: The same for a text of ASCII alone.
-ASCII_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"""
+#: The same for a text of ASCII alone; alternatives that start with different characters, the most frequent first.
+ASCII_SPLIT = r""" ?[A-Za-z]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"""
 #: Characters whose class is the same in every Unicode version in use: Latin to Cyrillic without unassigned
 #: places, Arabic and Devanagari letters, punctuation, kana, common Han, Hangul.
 SETTLED = r"[\x00-\u0377\u0391-\u03a1\u03a3-\u03ff\u0400-\u0527\u05d0-\u05ea\u0620-\u064a\u0660-\u0669\u0905-\u0939\u1e00-\u1eff\u2000-\u2027\u2030-\u205e\u20a0-\u20b5\u2190-\u23f3\u2500-\u26ff\u3000-\u303f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3\uff01-\uff5e]*"
 
 
+@lru_cache(maxsize=1)
+def settled_split() -> re.Pattern[str]:
+    """SPLIT for settled texts, with its classes spelt out as ranges, which `re` looks up faster than `regex`."""
+    settled = regex.findall(SETTLED.removesuffix("*"), "".join(map(chr, chain(range(0xD800), range(0xE000, 0x10000)))))
+
+    def ranges(kind: str) -> str:
+        found: list[list[int]] = []
+        for x in map(ord, regex.findall(kind, "".join(settled))):
+            if found and found[-1][1] == x - 1:
+                found[-1][1] = x
+            else:
+                found.append([x, x])
+        return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in found)
+
+    letters, numbers, blanks = ranges(r"\p{L}"), ranges(r"\p{N}"), ranges(r"\s")
+    return re.compile(rf" ?[{letters}]+|'(?:[stmd]|re|ve|ll)| ?[{numbers}]+| ?[^{blanks}{letters}{numbers}]+|[{blanks}]+(?![^{blanks}])|[{blanks}]+")
+
+
 @lru_cache(maxsize=2)  # a Python worker keeps it from task to task
-def byte_encoder(path: str, limit: int = 300_000) -> Callable[[str], np.ndarray]:
+def byte_encoder(path: str, limit: int = 150_000) -> Callable[[str], np.ndarray]:
     """text → uint32 ids, by a tokenizers-library file of a byte-level BPE; memory is bounded by `limit` pieces."""
     from tokenizers import Tokenizer
 
@@ -62,19 +80,20 @@ def byte_encoder(path: str, limit: int = 300_000) -> Callable[[str], np.ndarray]
     if spec["normalizer"] or split["type"] != "ByteLevel" or split["add_prefix_space"] or not split["use_regex"]:
         raise ValueError(f"{path} is not a plain byte-level tokenizer")
     specials, merge = [t["content"] for t in spec["added_tokens"]], library.model.tokenize
-    pieces, ascii_pieces, settled = regex.compile(SPLIT).findall, re.compile(ASCII_SPLIT, re.ASCII).findall, regex.compile(SETTLED).fullmatch
+    pieces, ascii_pieces, settled = settled_split().findall, re.compile(ASCII_SPLIT, re.ASCII).findall, regex.compile(SETTLED).fullmatch
+    named = {b: BYTE_NAMES[b] for b in range(128)}
 
-    def piece_ids(piece: str) -> tuple[int, ...]:
-        plain = piece.isascii() and piece.isprintable()
-        return tuple([t.id for t in merge(piece.replace(" ", BYTE_NAMES[32]) if plain else "".join([BYTE_NAMES[b] for b in piece.encode()]))])
+    def piece_ids(piece: str) -> bytes:
+        ids = [t.id for t in merge(piece.translate(named) if piece.isascii() else "".join([BYTE_NAMES[b] for b in piece.encode()]))]
+        return pack_ids(f"<{len(ids)}I", *ids)
 
-    known = BoundedTable(piece_ids, limit)
+    known = BoundedTable(piece_ids, limit)  # bytes take a third of the room of tuples, and are joined faster
 
     def encode(text: str) -> np.ndarray:
         plain = text.isascii()
         if not (plain or settled(text)) or any(x in text for x in specials):
             return np.array(library.encode(text, add_special_tokens=False).ids, "<u4")
-        return np.frombuffer(array("I", chain.from_iterable(map(known.__getitem__, (ascii_pieces if plain else pieces)(text)))), "<u4")
+        return np.frombuffer(b"".join(map(known.__getitem__, (ascii_pieces if plain else pieces)(text))), "<u4")
 
     return encode
 
