@@ -11,6 +11,9 @@ The first level is there because vantage points over all 64 bits prune little am
 fingerprints, whose distances are 32 +- 4: at radius 4 a third of a shard lies just beyond its median boundary.
 
 Equal fingerprints are one node from the start.
+
+Near copies by similarity go through the same trees first: links between their SimHashes are verified by the shingle
+sets and join what they can. An exact search among the shingles follows for the links that `radius` bits do not reach.
 """
 
 from __future__ import annotations
@@ -162,6 +165,14 @@ def blocks_for(distinct_fps: int, radius: int, shard: int = SHARD) -> tuple[int,
     return blocks, bits
 
 
+def tree_links(nodes: DataFrame, radius: int) -> DataFrame:
+    """nodes (fp), distinct and read from files → (u, v) links between fingerprints that join all within `radius`
+    bits, found by vantage-point trees."""
+    blocks, bits = blocks_for(nodes.count(), radius)
+    keys = nodes.select(F.explode(block_keys(F.col("fp"), radius, blocks, bits)).alias("key"), "fp")
+    return forest_links(split_hot(keys, radius), radius, parts=partitions(nodes, 2 * comb(blocks, radius)))
+
+
 def near_groups(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     """docs (doc_id, text) → (doc_id, fp, component): fingerprints within `radius` bits link, and
     component is the smallest doc_id reachable.
@@ -173,9 +184,7 @@ def near_groups(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     """
     fps = materialise(fingerprints(docs, words), "fingerprints")
     nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")), "nodes")
-    blocks, bits = blocks_for(nodes.count(), radius)
-    keys = nodes.select(F.explode(block_keys(F.col("fp"), radius, blocks, bits)).alias("key"), "fp")
-    linked = components(forest_links(split_hot(keys, radius), radius, parts=partitions(nodes, 2 * comb(blocks, radius))))
+    linked = components(tree_links(nodes, radius))
     grouped = nodes.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "low", "n", "component")
     lows = grouped.where(F.col("component").isNotNull()).groupBy(F.col("component").alias("__c")).agg(F.min("low").alias("__low"))
     # only fingerprints that are shared or linked are looked up; the others' component is their own document
@@ -186,11 +195,15 @@ def near_groups(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
 
 # --- near-duplicates by similarity ---------------------------------------------------------------
 #
-# The search is exact. In any one order of all shingles, two sets with a Jaccard similarity of t or more
+# The vantage-point trees over SimHashes come first. Their links, verified by the shingle sets, make groups, and nothing
+# within a group is compared again. At a similarity of 0.8 two SimHashes differ in 3 to 13 bits, so the trees leave links over.
+# For those the search that follows is exact. In any one order of all shingles, two sets with a Jaccard similarity of t or more
 # share a shingle among the first n - ceil(t * n) + 1 of each, n its size. These prefixes are the
 # keys; every pair that shares one is a candidate, and only bounds that no true pair fails drop one before
 # the shingle sets are compared.
 
+#: Bits in which SimHashes differ at most that the trees link.
+RADIUS = 4
 #: Words of 64 bits in a parity map.
 LANES = 16
 #: The order puts shingles last that this many sampled documents hold at least; it only keeps shards small.
@@ -232,8 +245,8 @@ def common_shingles(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def shingle_nodes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(doc_id, size, f1, f2, fp, prefix): the size of the set of shingles, its 128-bit name, its parity
-    map and its prefix."""
+    """(doc_id, size, f1, f2, simhash, fp, prefix): the size of the set of shingles, its 128-bit name, its SimHash,
+    its parity map and its prefix."""
     common = common_shingles(docs, words)
     by_name = np.argsort(common)
     sent = docs.sparkSession.sparkContext.broadcast((common[by_name], by_name))
@@ -255,10 +268,21 @@ def shingle_nodes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
                 made = [shingle_hashes(t.as_py(), words, distinct=True) for t in part.column(1)]
                 named = np.frombuffer(b"".join(xxhash.xxh3_128_digest(h.tobytes()) for h in made), "<i8").reshape(-1, 2)
                 columns = [pa.array([len(h) for h in made], pa.int64()), pa.array(named[:, 0].copy()), pa.array(named[:, 1].copy())]
+                columns.append(pa.array(np.array([majority_bits(h) for h in made], np.uint64).view(np.int64)))
                 columns += [pa.array([parity_map(h).astype(">u8").tobytes() for h in made], pa.binary()), pa.array([prefix(h) for h in made], pa.binary())]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", "size", "f1", "f2", "fp", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", "size", "f1", "f2", "simhash", "fp", "prefix"])
+
+    return arrow_rows(docs.select("doc_id", "text"), rows, "doc_id long, size long, f1 long, f2 long, simhash long, fp binary, prefix binary")
+
 
-    return arrow_rows(docs.select("doc_id", "text"), rows, "doc_id long, size long, f1 long, f2 long, fp binary, prefix binary")
+def simhash_pairs(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """nodes (id, simhash) → (u, v) pairs of ids: the links of the vantage-point trees between SimHashes, each of
+    which stands for its smallest id, and of that id with the others of the same SimHash."""
+    lows = materialise(nodes.groupBy(F.col("simhash").alias("fp")).agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")), "simhashes")
+    of = lambda side: lows.select(F.col("fp").alias(f"__{side}"), F.col("low").alias(f"low_{side}"))
+    links = tree_links(lows, radius).join(of("u"), F.col("u") == F.col("__u")).join(of("v"), F.col("v") == F.col("__v"))
+    same = join_groups(nodes.select("id", F.col("simhash").alias("fp")), lows.where("n > 1"), ["fp"]).where("low <> id")
+    return links.select(F.col("low_u").alias("u"), F.col("low_v").alias("v")).union(same.select("low", "id"))
 
 
 def prefix_rows(nodes: DataFrame) -> DataFrame:
@@ -299,14 +323,17 @@ def shard_pairs(rows: DataFrame, similarity: float, parts: int) -> DataFrame:
     return arrow_rows(rows.repartition(parts, "key").sortWithinPartitions("key", "id").select("key", "id", "pos", "size"), pairs, "u long, v long").distinct()
 
 
-def similar_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+def similar_forest(sets: list[np.ndarray], similarity: float, groups: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the pairs of sorted sets with that similarity or more, breadth-first: a
-    member is compared with all that are not yet reached, and every link is verified."""
+    member is compared with all that are not yet reached, and every link is verified. Members of one of `groups`
+    are joined already: with one of them all are reached, by one link."""
+    groups = np.arange(len(sets)) if groups is None else groups
     sizes = np.array([len(s) for s in sets], np.int64)
     maps = np.stack([parity_map(s) for s in sets])
     left, edges = np.arange(len(sets)), []
     while len(left):
-        queue, left = [int(left[0])], left[1:]
+        mine = groups[left] == groups[left[0]]
+        queue, left = left[mine].tolist(), left[~mine]
         while queue and len(left):
             k = queue.pop()
             both = sizes[left] + sizes[k]
@@ -320,10 +347,11 @@ def similar_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int,
                 shared = np.add.reduceat(same, np.concatenate([[0], np.cumsum(sizes[left[some]])[:-1]]), dtype=np.int64)
                 found.append(some[shared >= similarity * (both[some] - shared)])
             if found and len(hit := np.concatenate(found)):
-                reached = left[hit].tolist()
-                left = np.delete(left, hit)
-                queue += reached
-                edges += [(k, x) for x in reached]
+                names, one = np.unique(groups[left[hit]], return_index=True)
+                edges += [(k, x) for x in left[hit[one]].tolist()]
+                reached = np.isin(groups[left], names)
+                queue += left[reached].tolist()
+                left = left[~reached]
     return edges
 
 
@@ -341,26 +369,28 @@ def shard_blocks(rows: DataFrame) -> DataFrame:
 
 
 def shard_forests(rows: DataFrame, similarity: float, parts: int) -> DataFrame:
-    """(key, id, set) → (u, v): verified links, a spanning forest for each key's shard."""
+    """(key, id, set, joined) → (u, v): verified links that, with those between ids of the same `joined`, are a
+    spanning forest for each key's shard."""
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def settle(ids: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
-            made = similar_forest(sets, similarity)
+        def settle(ids: list[int], sets: list[np.ndarray], joined: list[int]) -> pa.RecordBatch:
+            made = similar_forest(sets, similarity, np.array(joined, np.int64))
             return pa.RecordBatch.from_arrays([pa.array([ids[a] for a, _ in made], pa.int64()), pa.array([ids[b] for _, b in made], pa.int64())], ["u", "v"])
 
-        key, ids, sets = None, [], []
+        key, ids, sets, joined = None, [], [], []
         for b in batches:
-            for k, i, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            for k, i, s, j in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
                 if k != key and ids:
-                    yield settle(ids, sets)
-                    ids, sets = [], []
+                    yield settle(ids, sets, joined)
+                    ids, sets, joined = [], [], []
                 key = k
                 ids.append(i)
                 sets.append(np.frombuffer(s.as_py(), np.uint64))
+                joined.append(j)
         if ids:
-            yield settle(ids, sets)
+            yield settle(ids, sets, joined)
 
-    return arrow_rows(rows.repartition(parts, "key").sortWithinPartitions("key", "id").select("key", "id", "set"), links, "u long, v long").distinct()
+    return arrow_rows(rows.repartition(parts, "key").sortWithinPartitions("key", "id").select("key", "id", "set", "joined"), links, "u long, v long").distinct()
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -392,9 +422,17 @@ def exactly_similar(found: DataFrame, links: DataFrame, similarity: float) -> Da
     return arrow_rows(links.join(of("u"), "u").join(of("v"), "v").select("u", "v", "set_u", "set_v"), similar, "u long, v long")
 
 
+def in_groups(rows: DataFrame, groups: DataFrame, by: str, name: str) -> DataFrame:
+    """rows with the component of their id `by` in groups (node, component), or else that id itself, as `name`."""
+    side = groups.select(F.col("node").alias("__node"), F.col("component").alias("__component"))
+    found = rows.join(side, F.col(by) == F.col("__node"), "left")
+    return found.select(*rows.columns, F.coalesce("__component", by).alias(name))
+
+
 def similar_links(docs: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
-    """nodes (id, size, fp, prefix) → (u, v): verified links that join all that a similarity of
+    """nodes (id, size, simhash, fp, prefix) → (u, v): verified links that join all that a similarity of
     `similarity` or more joins. docs has the texts of the ids."""
+    near = materialise(simhash_pairs(nodes), "near")
     rows = prefix_rows(nodes)
     hot = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub")).where(F.col("n") > PAIRED)
     hot = materialise(hot, "hot")
@@ -408,16 +446,20 @@ def similar_links(docs: DataFrame, nodes: DataFrame, words: int, similarity: flo
     pairs = materialise(pairs.join(side("u"), "u").join(side("v"), "v").where(sum(differ[1:], differ[0]) <= may_differ(both, similarity)).select("u", "v"), "pairs")
     hubs = materialise(hub_rows(rows, hot), "hubs")
     dealt = materialise(in_blocks(hubs, shard_blocks(hubs), "id"), "blocks")
-    sets = shingle_sets(docs, pairs.select(F.col("u").alias("__id")).union(pairs.select("v")).union(dealt.select("id")).distinct(), words)
-    dense = shard_forests(dealt.join(sets, "id"), similarity, partitions(sets, 4))
-    return exactly_similar(sets, pairs, similarity).union(dense)
+    asked = near.union(pairs)
+    sets = shingle_sets(docs, asked.select(F.col("u").alias("__id")).union(asked.select("v")).union(dealt.select("id")).distinct(), words)
+    found = materialise(exactly_similar(sets, near, similarity), "near-links")
+    groups = materialise(components(found), "near-groups")
+    apart = in_groups(in_groups(pairs, groups, "u", "__u"), groups, "v", "__v").where("__u <> __v").select("u", "v")
+    dense = shard_forests(in_groups(dealt, groups, "id", "joined").join(sets, "id"), similarity, partitions(sets, 4))
+    return found.union(exactly_similar(sets, apart, similarity)).union(dense)
 
 
 def duplicate_ids(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id) of every document that has a smaller doc_id in its group of near copies."""
     docs = docs.where(F.col("doc_id").isNotNull())
     fps = materialise(shingle_nodes(docs, words, similarity), "shingles")
-    nodes = materialise(fps.groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"), F.first("size").alias("size"), F.count(F.lit(1)).alias("n")), "nodes")
+    nodes = materialise(fps.groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.first("simhash").alias("simhash"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"), F.first("size").alias("size"), F.count(F.lit(1)).alias("n")), "nodes")
     linked = components(similar_links(docs, nodes, words, similarity)).select("node", "component").where("node <> component")
     # a document goes if it is a later copy or its node is in an earlier one's component
     known = nodes.join(linked, F.col("id") == F.col("node"), "left").where((F.col("n") > 1) | F.col("component").isNotNull())

@@ -267,3 +267,36 @@ def test_short_texts_of_just_the_similarity(spark):
     docs = list(enumerate(" ".join(x) for x in docs))
     got = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == set(range(0, 600, 2))
+
+
+def test_near_copies_come_through_the_vantage_point_trees(spark, monkeypatch):
+    """The trees over SimHashes alone drop most copies with one word edited and no text under the similarity; with
+    the search that follows them the result is that of brute force."""
+    rnd, docs = random.Random(15), []
+    for _ in range(40):
+        base = [f"w{rnd.randrange(10**9)}" for _ in range(400)]
+        docs += [" ".join(edited(rnd, base, k)) for k in (0, 1, 1, 1, 4, 9)]
+    docs = list(enumerate(docs))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    want, searched = exact_keepers(docs), []
+    keep = simhash.forest_links
+    monkeypatch.setattr(simhash, "forest_links", lambda rows, *a, **k: searched.append(rows.count()) or keep(rows, *a, **k))
+    assert {r.doc_id for r in simhash.one_of_each(frame).collect()} == want and len(searched) == 1 and searched[0] > 4 * len(docs)
+    monkeypatch.setattr(simhash, "prefix_rows", lambda nodes: spark.createDataFrame([], "key long, id long, pos long, size long"))
+    alone = {r.doc_id for r in simhash.one_of_each(frame).collect()}
+    assert want <= alone and len(docs) - len(alone) > 0.5 * (len(docs) - len(want))
+
+
+def test_a_forest_over_groups_that_are_joined_already():
+    rnd = random.Random(16)
+    bases = [[f"w{rnd.randrange(10**9)}" for _ in range(200)] for _ in range(4)]
+    sets = [simhash.shingle_hashes(" ".join(edited(rnd, bases[k % 4], rnd.choice([1, 2, 3]))), 5, True) for k in range(120)]
+    similar = [(i, j) for i in range(120) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+    groups = np.arange(120)
+    for i, j in rnd.sample(similar, 60):
+        groups[groups == groups[i]] = groups[j]
+    made = simhash.similar_forest(sets, 0.8, groups)
+    chains = [(i, int(np.flatnonzero(groups == groups[i])[0])) for i in range(120)]
+    assert connected(120, made + chains) == connected(120, similar)
+    assert len(made) == len(set(groups.tolist())) - len(set(connected(120, similar)))
+    assert {(max(x), min(x)) for x in made} <= set(similar)
