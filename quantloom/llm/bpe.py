@@ -18,14 +18,13 @@ import json
 import re
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 from operator import add
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from quantloom.llm.common import BoundedTable, arrow_rows, table
+from quantloom.llm.common import BoundedTable, arrow_rows, kept_by_worker, table
 
 END = "</w>"
 #: Character classes of the word split up to U+00FF, after lower-casing.
@@ -106,7 +105,7 @@ class WordBpe:
         return " ".join(map(self.names.__getitem__, memoryview(ids).cast("I")))
 
 
-@lru_cache(maxsize=2)  # a Python worker keeps it from task to task
+@kept_by_worker
 def word_bpe(path: str) -> WordBpe:
     return WordBpe(path)
 

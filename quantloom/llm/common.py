@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,10 +52,35 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+_kept: list[Callable] = []
+
+
+def kept_by_worker(make: Callable) -> Callable:
+    """`make` with its last results kept from task to task in a Python worker, until it runs another module's tasks."""
+    _kept.append(lru_cache(maxsize=2)(make))
+    return _kept[-1]
+
+
+def frugal(rows: Callable) -> Callable:
+    """`rows` for a Python worker: what other modules keep is let go first, and memory that a task has freed goes back
+    to the system after it. Else a worker's memory would be the sum of all that it ever ran."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cache in _kept:
+            if cache.__module__ != rows.__module__:
+                cache.cache_clear()
+        yield from rows(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
+            trim(0)
+
+    return run
+
+
 def arrow_rows(df: DataFrame, rows: Callable, schema) -> DataFrame:
     """`mapInArrow`, with the package shipped first: a Python function knows the files sent before it is made."""
     ship(df.sparkSession)
-    return df.mapInArrow(rows, schema)
+    return df.mapInArrow(frugal(rows), schema)
 
 
 def materialise(df: DataFrame, what: str) -> DataFrame:

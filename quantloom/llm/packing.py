@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.llm.bpe import BYTE_NAMES
-from quantloom.llm.common import BoundedTable, arrow_rows, materialise, table
+from quantloom.llm.common import BoundedTable, arrow_rows, kept_by_worker, materialise, table
 
 CAPACITY = 2048
 #: Bins with at most this room left are done.
@@ -67,7 +67,7 @@ def settled_split() -> re.Pattern[str]:
     return re.compile(rf" ?[{letters}]+|'(?:[stmd]|re|ve|ll)| ?[{numbers}]+| ?[^{blanks}{letters}{numbers}]+|[{blanks}]+(?![^{blanks}])|[{blanks}]+")
 
 
-@lru_cache(maxsize=2)  # a Python worker keeps it from task to task
+@kept_by_worker
 def byte_encoder(path: str, limit: int = 150_000) -> Callable[[str], np.ndarray]:
     """text → uint32 ids, by a tokenizers-library file of a byte-level BPE; memory is bounded by `limit` pieces."""
     from tokenizers import Tokenizer

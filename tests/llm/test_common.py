@@ -67,3 +67,18 @@ print("ROWS", __spark_entry__.queries()["op9_media_columns"](spark, "/root/testd
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)
     assert "ROWS 200" in done.stdout, done.stderr[-2000:]
+
+
+def test_a_worker_lets_go_what_another_module_keeps():
+    table = common.kept_by_worker(lambda size: bytes(size))
+    try:
+        mine, other = (lambda batches: batches), (lambda batches: batches)
+        other.__module__ = "quantloom.llm.other"
+        table(10)
+        assert list(common.frugal(mine)(iter([1, 2]))) == [1, 2] and table.cache_info().currsize == 1
+        assert list(common.frugal(other)(iter([3]))) == [3] and table.cache_info().currsize == 0
+    finally:
+        common._kept.remove(table)
+    from quantloom.llm import packing
+
+    assert packing.byte_encoder in common._kept
