@@ -71,7 +71,7 @@ def frugal(rows: Callable) -> Callable:
                 cache.cache_clear()
         yield from rows(batches)
         pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
+        if os.name == "posix" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):  # of glibc
             trim(0)
 
     return run
